@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tracklake.llm import quality
+from tracklake.llm import packing, quality, secrets
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op5_quality": quality.query,
+    "op6_secrets": secrets.query,
 }
 ORACLE_SQL: dict[str, str] = {}
