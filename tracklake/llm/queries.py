@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tracklake.llm import packing, quality, secrets
+from tracklake.llm import line_dedup, packing, quality, secrets
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_quality": quality.query,
     "op6_secrets": secrets.query,
+    "op10_line_dedup": line_dedup.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
