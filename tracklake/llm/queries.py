@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracklake.llm import line_dedup, packing, quality, secrets
+from tracklake.llm import line_dedup, ngram_join, packing, quality, secrets
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_quality": quality.query,
     "op6_secrets": secrets.query,
+    "op7_ngram_join": ngram_join.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
