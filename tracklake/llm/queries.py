@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tracklake.llm import line_dedup, ngram_join, packing, quality, secrets
+from tracklake.llm import fingerprints, line_dedup, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op4_sharding": sharding.query,
     "op5_quality": quality.query,
     "op6_secrets": secrets.query,
     "op7_ngram_join": ngram_join.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
