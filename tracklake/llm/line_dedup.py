@@ -42,11 +42,19 @@ def chunked(df: DataFrame, doc_id: str, text: str, divisor: int) -> DataFrame:
     return with_spans(df.select(F.col(f"`{doc_id}`").alias("id"), F.md5(body).alias("key"), F.split(body, "\n").alias("lines")), divisor)
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each multi-line chunk that is not blank: id, key, place in the document, the chunk."""
-    spans = rows.select("id", "key", "lines", F.posexplode("spans").alias("place", "span")).filter(F.col("span.n") >= LEAST_LINES)
-    chunk = F.array_join(F.slice("lines", F.col("span.at"), F.col("span.n")), "\n")
-    return spans.select("id", "key", "place", chunk.alias("chunk")).filter(F.length(F.translate("chunk", "\n", "")) > 0)
+def occurrences(rows: DataFrame, as_hash: bool = False) -> DataFrame:
+    """A row for each multi-line chunk that is not blank: id, key, place in the document, the chunk or its hash.
+
+    The chunks are made before they are dealt out, so that no row carries all lines of its document; and dealt out by the
+    outer form, for which Spark adds no filter on the document that would compute the chunks again.
+    """
+
+    def told(span: Column) -> Column:
+        chunk = F.array_join(F.slice("lines", span.at, span.n), "\n")
+        return F.struct((F.md5(chunk) if as_hash else chunk).alias("chunk"), ((span.n >= LEAST_LINES) & (F.length(chunk) >= span.n)).alias("counts"))
+
+    spans = rows.select("id", "key", F.posexplode_outer(F.transform("spans", told)).alias("place", "told"))
+    return spans.filter("told.counts").select("id", "key", "place", F.col("told.chunk").alias("chunk"))
 
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
@@ -59,10 +67,11 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = chunked(df, doc_id, text, divisor)
     found = occurrences(rows)
+    hashed = occurrences(rows, as_hash=True)
     order = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
     groups = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     repeated = groups.groupBy(F.md5("chunk").alias("hash")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("times").alias("times"), F.min("first").alias("first")).filter((F.col("chunks") == 1) & (F.col("times") > 1))
-    later = found.select("id", "key", "place", F.md5("chunk").alias("hash"), order.alias("order")).join(repeated.select("hash", "first"), "hash").filter(F.col("order") > F.col("first"))
+    later = hashed.select("id", "key", "place", F.col("chunk").alias("hash"), order.alias("order")).join(repeated.select("hash", "first"), "hash").filter(F.col("order") > F.col("first"))
     gone = later.groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
     kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
     body = F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit(""))
