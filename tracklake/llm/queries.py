@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracklake.llm import fingerprints, line_dedup, ngram_join, packing, quality, secrets, sharding
+from tracklake.llm import fingerprints, html_text, line_dedup, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_html": html_text.query,
     "op4_sharding": sharding.query,
     "op5_quality": quality.query,
     "op6_secrets": secrets.query,
