@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracklake.llm import fingerprints, html_text, line_dedup, ngram_join, packing, quality, secrets, sharding
+from tracklake.llm import fingerprints, html_text, line_dedup, ngram_join, packing, quality, secrets, sentence_pieces, sharding
 
 QUERIES = {
+    "op1_sentencepiece": sentence_pieces.query,
     "op2_packing": packing.query,
     "op3_html": html_text.query,
     "op4_sharding": sharding.query,
