@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 #: Text bytes handled at once by a Python worker: what bounds its memory, a single longer text aside.
 SLICE_BYTES = 4 << 20
 WHITE = b" \t\n\v\f\r"
+#: Words whose hashes a worker remembers.
+REMEMBERED = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +96,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     return x ^ (x >> np.uint64(33))
+
+
+class WordHashes(dict):
+    """Stable 64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def class_key(words: list[bytes]) -> int | None:
+    """One number for all texts with these words in this order; none for no words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63 if words else None

@@ -19,12 +19,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import as_bytes, cut, field, map_texts, mix, slices, table
+from tracklake.llm.common import WordHashes, as_bytes, class_key, cut, field, map_texts, mix, slices, table
 from tracklake.llm.components import connected_components
 
 WORDS = 5
@@ -39,16 +38,6 @@ ROUNDS = 3
 U8, U4, U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def shingle_sets(docs: list[list[bytes]], hashes: WordHashes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all documents, sorted by document and hash, and their documents' numbers."""
     sizes = np.array([len(d) for d in docs], np.int64)
@@ -73,11 +62,6 @@ def shingle_sets(docs: list[list[bytes]], hashes: WordHashes, words: int = WORDS
     return h[new], at[new]
 
 
-def class_key(words: list[bytes]) -> int | None:
-    """One number for all texts with these words in this order; none for no words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63 if words else None
-
-
 def memberships(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row's doc_id, class and count of words; no class for texts without words."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import fingerprints, html_text, line_dedup, ngram_join, packing, quality, secrets, sentence_pieces, sharding
+from tracklake.llm import fingerprints, html_text, line_dedup, lm_score, ngram_join, packing, quality, secrets, sentence_pieces, sharding
 
 QUERIES = {
     "op1_sentencepiece": sentence_pieces.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_secrets": secrets.query,
     "op7_ngram_join": ngram_join.query,
+    "op8_lm_score": lm_score.query,
     "op9_fingerprints": fingerprints.query,
     "op10_line_dedup": line_dedup.query,
 }
