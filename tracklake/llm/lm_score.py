@@ -26,7 +26,7 @@ from tracklake.llm.common import WordHashes, as_bytes, class_key, cut, field, ma
 from tracklake.llm.lattice import SPACE, Batch, Pieces, by_length, pieces
 
 #: Rounds of expectation and maximisation.
-ROUNDS = 2
+ROUNDS = 4
 #: What each piece counts beyond its occurrences, so that none is impossible.
 SMOOTHING = 0.02
 #: Words that a mapper counts before it sends them.
