@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import quality
+from tracklake.llm import line_dedup, ngram_join, packing, quality, secrets
 from tracklake.llm.common import shared_folder
 
 STAGES = [
     ("quality rules", quality.quality_stage),
+    ("line dedup", line_dedup.line_dedup_stage),
+    ("n-gram Jaccard join", ngram_join.near_duplicates_stage),
+    ("secret scans", secrets.secrets_stage),
+    ("best-fit packing", packing.packing_stage),
 ]
 #: No stage order that ends in packing by a tokenizer can be said in SQL; the tests hold it against brute force.
 ORACLE_SQL = None
