@@ -73,7 +73,7 @@ def fit_forest(x: np.ndarray, trees: int, seed: int, rows_per_tree: int = ROWS_P
                 length[t, node] = level + usual_length(len(own))
                 continue
             f = rng.choice(open_)
-            cut = rng.uniform(low[f], high[f])
+            cut = min(rng.uniform(low[f], high[f]), np.nextafter(high[f], low[f]))  # rounding may reach the upper end
             goes_left = own[:, f] <= cut
             feature[t, node], threshold[t, node], left[t, node], right[t, node] = f, cut, used, used + 1
             todo += [(used, own[goes_left], level + 1), (used + 1, own[~goes_left], level + 1)]
