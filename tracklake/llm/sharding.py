@@ -112,17 +112,19 @@ def shard_rows(df: DataFrame, key: str = "doc_id", fallback: str = "text", tie:
     spark = df.sparkSession
     nodes = ring(shards, virtual)
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    placed = df.select(*names, ring_position(F.col(f"`{key}`"), F.col(f"`{fallback}`")).alias("position_"))
-    placed = placed.withColumn("cell_", F.shiftrightunsigned(F.col("position_").bitwiseXOR(F.lit(-(2**63))), 64 - CELL_BITS))
-    cells = literal_table(spark, arc_cells(nodes), ["cell", "low", "high", "arc_"])
-    on_arc = placed.join(F.broadcast(cells), (F.col("cell_") == F.col("cell")) & F.col("position_").between(F.col("low"), F.col("high")))
-    counts = {r[0]: r[1] for r in on_arc.groupBy("arc_").count().collect()}
+    own = {c: f"k{i}" for i, c in enumerate(names)}
+    placed = df.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
+    placed = placed.withColumn("position", ring_position(F.col(own[key]), F.col(own[fallback])))
+    placed = placed.withColumn("at_cell", F.shiftrightunsigned(F.col("position").bitwiseXOR(F.lit(-(2**63))), 64 - CELL_BITS))
+    cells = literal_table(spark, arc_cells(nodes), ["cell", "low", "high", "on_arc"])
+    on_arc = placed.join(F.broadcast(cells), (F.col("at_cell") == F.col("cell")) & F.col("position").between(F.col("low"), F.col("high")))
+    counts = {r[0]: r[1] for r in on_arc.groupBy("on_arc").count().collect()}
     plan = bounded_plan(counts, nodes, capacities(sum(counts.values()), shards, slack))
     parts = literal_table(spark, plan, ["arc", "first", "last", "to_shard", "slots"])
-    window = Window.partitionBy("arc_").orderBy("position_", *(F.col(f"`{c}`") for c in [key, *(tie or [fallback])]))
-    ranked = on_arc.withColumn("rank_", F.row_number().over(window) - 1)
-    out = ranked.join(F.broadcast(parts), (F.col("arc_") == F.col("arc")) & F.col("rank_").between(F.col("first"), F.col("last")))
-    return out.select(*names, F.col("to_shard").cast("int").alias("shard"), (F.col("slots") + F.col("rank_") - F.col("first")).alias("slot"))
+    window = Window.partitionBy("on_arc").orderBy("position", *(own[c] for c in [key, *(tie or [fallback])]))
+    ranked = on_arc.withColumn("rank", F.row_number().over(window) - 1)
+    out = ranked.join(F.broadcast(parts), (F.col("on_arc") == F.col("arc")) & F.col("rank").between(F.col("first"), F.col("last")))
+    return out.select(*[F.col(k).alias(c) for c, k in own.items()], F.col("to_shard").cast("int").alias("shard"), (F.col("slots") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
