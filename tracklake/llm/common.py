@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 #: Text bytes handled at once by a Python worker: what bounds its memory, a single longer text aside.
 SLICE_BYTES = 4 << 20
 WHITE = b" \t\n\v\f\r"
-#: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,16 +96,93 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words, remembered."""
+#: Bytes over which word hashes are summed at once; a longer word makes its own block.
+BLOCK = 1 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_WHITE = np.isin(np.arange(256), list(WHITE))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    back = np.uint64(pow(int(BASE), -1, 2**64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, back))
 
-def class_key(words: list[bytes]) -> int | None:
-    """One number for all texts with these words in this order; none for no words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63 if words else None
+
+class Tokens:
+    """The words of texts, A-Z in lower case, as 64-bit hashes of their bytes, without an object for each.
+
+    A word's hash is a polynomial over its bytes: a difference of running sums, brought back to the word's start.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.data = LOWER[data]
+        edge = np.diff(IS_WHITE[data].view(np.int8), prepend=np.int8(1))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        docs = np.cumsum([len(t) + 1 for t in texts])
+        self.first = np.searchsorted(self.starts, np.concatenate([[0], docs]))
+        self.counts = np.diff(self.first)
+        self.hashes = np.zeros(len(self.starts), np.uint64)
+        i = 0
+        while i < len(self.starts):
+            base = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, base + BLOCK, "right")))
+            own = self.data[base : self.ends[j - 1]]
+            up, down = powers(max(BLOCK, 1 << (len(own) - 1).bit_length()))
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], out=total[1:])
+            s, e = self.starts[i:j] - base, self.ends[i:j] - base
+            self.hashes[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * LENGTH)
+            i = j
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        whole = self.data.tobytes()
+        return [whole[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
+    def documents(self) -> np.ndarray:
+        """The number of each word's document."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def sequence_keys(self) -> np.ndarray:
+        """One number (int64) for all documents with these words in this order."""
+        place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], self.counts)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hashes + mix(place.astype(np.uint64) + np.uint64(1))))])
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + self.counts.astype(np.uint64)).view(np.int64)
+
+    def classes(self) -> list[int | None]:
+        """The sequence keys; none for documents without words."""
+        return [k if n else None for k, n in zip(self.sequence_keys().tolist(), self.counts.tolist(), strict=True)]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes that Tokens gives these words, which are in lower case, not empty and without white space."""
+    return Tokens(words).hashes
+
+
+def sort_segments(h: np.ndarray, first: np.ndarray) -> None:
+    """Sorts each document's part of ``h`` in place; parts begin at ``first``, which has one end more."""
+    edges = first.tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        h[a:b].sort()
+
+
+class Fresh:
+    """Which documents of a task have a word sequence that it hasn't seen: copies are dealt out once a task."""
+
+    def __init__(self, remembered: int = 1_000_000) -> None:
+        self.seen: set[int] = set()
+        self.remembered = remembered
+
+    def __call__(self, tokens: Tokens) -> np.ndarray:
+        if len(self.seen) > self.remembered:
+            self.seen.clear()
+        out = []
+        for i, k in enumerate(tokens.classes()):
+            if k is not None and k not in self.seen:
+                self.seen.add(k)
+                out.append(i)
+        return np.array(out, np.int64)

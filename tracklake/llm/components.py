@@ -18,11 +18,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = cut(pairs.union(pairs.select("v", "u")).distinct())
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        low = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        low = cut(low)
+        near = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        low = cut(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        if low.filter("was <> root").isEmpty():
+            return low.select("node", "root")
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        made = cut(low.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")))
-        if made.filter("was <> root").isEmpty():
-            return made.select("node", "root")
-        labels = made.select("node", "root")
+        labels = cut(low.select("node", "root").join(jump, "root").select("node", F.least("root", "far").alias("root")))

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import WordHashes, as_bytes, class_key, cut, field, map_texts, mix, slices, table
+from tracklake.llm.common import BASE, Fresh, Tokens, as_bytes, cut, field, map_texts, mix, slices, sort_segments, table
 from tracklake.llm.components import connected_components
 
 WORDS = 5
@@ -38,25 +37,21 @@ ROUNDS = 3
 U8, U4, U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
 
 
-def shingle_sets(docs: list[list[bytes]], hashes: WordHashes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all documents, sorted by document and hash, and their documents' numbers."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    flat = np.fromiter(map(hashes.__getitem__, (w for d in docs for w in d)), np.uint64, int(sizes.sum()))
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    flat = mix(flat)
-    n = max(0, len(flat) - words + 1)
+def shingle_sets(tokens: Tokens, docs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of these documents, ascending within each, and their documents' numbers."""
+    own, n = tokens.hashes, max(0, len(tokens.hashes) - words + 1)
     h = np.zeros(n, np.uint64)
     for j in range(words):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n]
-    inside = doc[:n] == doc[words - 1 :] if n else np.zeros(0, bool)
-    h, at = mix(h[inside]), doc[:n][inside]
-    starts = np.cumsum(sizes) - sizes
-    short = np.flatnonzero((sizes > 0) & (sizes < words))
-    if len(short):
-        whole = np.array([reduce(lambda x, y: (x * 0x9E3779B97F4A7C15 + int(y) + 1) % 2**64, flat[starts[d] : starts[d] + sizes[d]], int(sizes[d])) for d in short], np.uint64)
-        h, at = np.concatenate([h, mix(whole)]), np.concatenate([at, short])
-    order = np.lexsort((h, at))
-    h, at = h[order], at[order]
+        h = h * BASE + own[j : j + n]
+    h = np.concatenate([mix(h), np.zeros(len(own) - n, np.uint64)])
+    counts = tokens.counts[docs]
+    short = (counts > 0) & (counts < words)
+    h[tokens.first[docs[short]]] = tokens.sequence_keys()[docs[short]].view(np.uint64)
+    sizes = np.where(short, 1, np.maximum(counts - words + 1, 0))
+    ends = np.cumsum(sizes)
+    h = h[np.repeat(tokens.first[docs] - ends + sizes, sizes) + np.arange(sizes.sum())]
+    sort_segments(h, np.concatenate([[0], ends]))
+    at = np.repeat(np.arange(len(docs)), sizes)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
     return h[new], at[new]
@@ -66,8 +61,8 @@ def memberships(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row's doc_id, class and count of words; no class for texts without words."""
 
     def label(texts: list[bytes]) -> list:
-        docs = [t.lower().split() for t in texts]
-        return [[class_key(d) for d in docs], [len(d) for d in docs]]
+        tokens = Tokens(texts)
+        return [tokens.classes(), tokens.counts]
 
     out = map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"], [field("class", T.LongType()), field("words", T.LongType())], label)
     return out
@@ -102,24 +97,17 @@ def packed_shingles(df: DataFrame, text: str, bits: int, groups: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = WordHashes(), set()
+        fresh = Fresh()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
         for whole in batches:
             for b in slices(whole, "body"):
-                fresh: dict[int, list[bytes]] = {}
-                for t in as_bytes(b, "body"):
-                    words = t.lower().split()
-                    key = class_key(words)
-                    if key is not None and key not in sent:
-                        if len(sent) > 1_000_000:
-                            sent.clear()
-                        sent.add(key)
-                        fresh[key] = words
-                if not fresh:
+                tokens = Tokens(as_bytes(b, "body"))
+                docs = fresh(tokens)
+                if not len(docs):
                     continue
-                h, at = shingle_sets(list(fresh.values()), hashes)
-                held.append((np.array(list(fresh), np.int64).view(np.uint64), h, at))
+                h, at = shingle_sets(tokens, docs)
+                held.append((tokens.sequence_keys()[docs].view(np.uint64), h, at))
                 n += len(h)
                 if n >= BUFFER:
                     yield pack(*joined(held))
@@ -229,30 +217,33 @@ def linked(percent: int) -> F.Column:
 
 def similar_classes(indexed: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) that connect all classes which links connect; not every link within a component is among them."""
-    sets = indexed.filter("prefix IS NOT NULL").select("class", "n", "hashes")
-    lists = indexed.filter("prefix IS NOT NULL").select("class", "n", "place", F.posexplode("prefix").alias("i", "h")).select("h", "class", "n", (F.col("place") + F.col("i")).alias("place"))
+    sets = indexed.filter("prefix IS NOT NULL").select("class", "n", "place", "hashes")
+    lists = indexed.filter("prefix IS NOT NULL").select("class", "n", "place", F.posexplode("prefix").alias("i", "h")).select("h", "class", "n", (F.col("place") + F.col("i")).alias("place"), (F.col("place") / F.col("n")).alias("alone"))
     more = lists.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("h")
     lists = cut(lists.join(more, "h"))
     empty = lists.select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("common")).limit(0)
     tried = empty
     for k in range(rounds):
-        key = F.xxhash64("class", F.lit(k))
+        # The likeliest relative has the fewest shingles to itself, as what others were made from has; later rounds try others.
+        key = F.struct("alone", "class") if k < 2 else F.struct(F.xxhash64("class", F.lit(k)).cast("double").alias("alone"), "class")
         free = lists
         if k:
             free = lists.join(tried.filter(linked(percent)).select(F.col("a").alias("class")).distinct(), "class", "left_anti")
-        centre = lists.groupBy("h").agg(F.min_by("class", key).alias("b"))
-        likely = free.join(centre, "h").filter("class <> b").groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
-        pairs = likely.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+        centre = lists.groupBy("h").agg(F.min(key).alias("b"))
+        likely = free.select("h", F.col("class").alias("a")).join(centre, "h").filter("a <> b.class").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+        best = F.struct(-F.col("b.alone"), "times", "b.class") if k == 0 else F.struct("times", -F.col("b.alone"), "b.class")
+        pairs = likely.groupBy("a").agg(F.max_by("b.class", best).alias("b"))
         if k:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         tried = tried.union(cut(overlaps(pairs, sets)))
     near = tried.filter(linked(percent))
     links = near.select("a", "b")
     roots = connected_components(links)
-    # A set's block: the set around which it lies, and how much it has beyond that; sets without a link are their own.
+    # A set's block: the set around which it lies, and how many shingles it has beyond that which are not its alone; sets
+    # without a link are their own block.
     around = near.groupBy(F.col("a").alias("class")).agg(F.max_by(F.struct("b", "common"), F.struct("common", "b")).alias("best"))
-    base = sets.select("class", "n").join(around, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    base = cut(base.select("class", "n", F.coalesce("best.b", "class").alias("block"), F.coalesce(F.col("n") - F.col("best.common"), F.lit(0)).alias("beyond"), F.coalesce("root", "class").alias("root")))
+    base = sets.select("class", "n", "place").join(around, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    base = cut(base.select("class", "n", F.coalesce("best.b", "class").alias("block"), F.coalesce(F.col("n") - F.col("place") - F.col("best.common"), F.lit(0)).alias("beyond"), F.coalesce("root", "class").alias("root")))
     blocks = lists.join(base.select("class", "block", "root"), "class").groupBy("h", "block", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"))
     mixed = blocks.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     blocks = cut(blocks.join(mixed, "h"))
@@ -263,16 +254,32 @@ def similar_classes(indexed: DataFrame, percent: int, rounds: int = ROUNDS) -> D
     centres = x.join(y, fits).select(F.least("x.block", "y.block").alias("a"), F.greatest("x.block", "y.block").alias("b")).distinct()
     between = cut(overlaps(centres, sets))
     links = links.union(between.filter(linked(percent)).select("a", "b"))
-    # Members of two blocks whose centres are not linked: they share at most what the centres do, and what each has beyond.
-    m, o = base.alias("m"), base.alias("o")
-    apart = between.filter(~linked(percent)).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("shared"))
-    reach = F.col("shared") + F.col("m.beyond") + F.col("o.beyond")
-    first = apart.join(base.groupBy("block").agg(F.max("beyond").alias("far")).alias("f"), F.col("q") == F.col("f.block")).join(m, F.col("p") == F.col("m.block"))
-    first = first.filter((100 + percent) * (F.col("shared") + F.col("m.beyond") + F.col("far")) >= percent * (F.col("m.n") + F.ceil(percent * F.col("m.n") / 100)))
-    close = first.join(o, (F.col("q") == F.col("o.block")) & (F.col("m.root") != F.col("o.root")) & ((100 + percent) * reach >= percent * (F.col("m.n") + F.col("o.n"))) & (100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n")))
-    close = close.select(F.least("m.class", "o.class").alias("a"), F.greatest("m.class", "o.class").alias("b")).distinct()
-    close = close.join(between.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(overlaps(close, sets).filter(linked(percent)).select("a", "b"))
+    # Blocks whose centres are not linked: a member shares with the other centre at most what the centres share and what it
+    # has beyond its own; what can reach the threshold is compared.
+    apart = between.filter(~linked(percent))
+    ends = apart.select("a", "b", "common", F.col("n_b").alias("other_n")).union(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("n_a").alias("other_n")))
+    m = base.select(F.col("class").alias("member"), "block", "n", "beyond").filter("member <> block")
+    reaches = (100 + percent) * (F.col("common") + F.col("beyond")) >= percent * (F.col("n") + F.col("other_n"))
+    toward = ends.join(m, (F.col("a") == F.col("block")) & reaches).select(F.col("member").alias("a"), "b")
+    toward = cut(overlaps(toward, sets))
+    met = toward.filter(linked(percent)).select("a", "b")
+    links = links.union(met)
+    # Of blocks still apart, pairs of members: they share at most what one shares with the other's centre, which is known
+    # by now or too little, and what the other has beyond that centre.
+    joined_now = met.join(m, F.col("a") == F.col("member")).select(F.least("block", "b").alias("a"), F.greatest("block", "b").alias("b")).distinct()
+    far = m.groupBy("block").agg(F.max("beyond").alias("far"))
+    apart = apart.join(joined_now, ["a", "b"], "left_anti").join(far.select(F.col("block").alias("a"), F.col("far").alias("far_a")), "a").join(far.select(F.col("block").alias("b"), F.col("far").alias("far_b")), "b")
+    known = toward.select(F.col("a").alias("member"), F.col("b").alias("centre"), F.col("common").alias("exact"))
+    sides = []
+    for own, other in (("a", "b"), ("b", "a")):
+        side = apart.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col(own).alias("mine"), F.col(other).alias("centre"), "common", F.col(f"far_{other}").alias("far"))
+        could = (100 + percent) * (F.col("common") + F.col("beyond") + F.col("far")) >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100))
+        side = side.join(m, (F.col("mine") == F.col("block")) & could).join(known, ["member", "centre"], "left")
+        sides.append(side.select("p", "q", F.col("member").alias(own), F.col("n").alias(f"n_{own}"), F.col("beyond").alias(f"beyond_{own}"), F.coalesce("exact", F.col("common") + F.col("beyond")).alias(f"most_{own}")))
+    x, y = sides
+    most = F.least(F.col("most_a") + F.col("beyond_b"), F.col("most_b") + F.col("beyond_a"))
+    close = x.join(y, ["p", "q"]).filter(((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    return links.union(overlaps(close.select("a", "b").distinct(), sets).filter(linked(percent)).select("a", "b"))
 
 
 def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
