@@ -22,9 +22,9 @@ class Cleaned:
 
 def stage(df: DataFrame) -> DataFrame:
     """The table, computed once and kept in the checkpoint folder that the session names, or one of its own if it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stages-"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-"))
     return df.checkpoint()
 
 
