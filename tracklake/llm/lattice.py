@@ -15,9 +15,11 @@ import sentencepiece
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
+SPREAD = np.uint64(0xFF51AFD7ED558CCD)
 #: Code points that one batch holds, about.
-BATCH = 400_000
+BATCH = 150_000
 UNIGRAM, BPE = 1, 2
+FIRST_BITS = 20
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -84,10 +86,14 @@ class Pieces:
         self.keys, self.ids = keys[order], self.normal[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        # Where in the sorted keys those begin that share their first bits.
-        self.start = np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
-        self.start = np.append(self.start, len(self.keys))
-        self.deepest = int(np.diff(self.start).max())
+        # Where in the sorted keys those begin that share their first bits, or -1: most substrings are no piece, and end here.
+        bits = (self.keys >> np.uint64(64 - FIRST_BITS)).astype(np.int64)
+        self.present = np.zeros(1 << FIRST_BITS, bool)
+        self.present[bits] = True
+        self.first = np.full(1 << FIRST_BITS, -1, np.int32)
+        self.first[bits[::-1]] = np.arange(len(bits), dtype=np.int32)[::-1]
+        self.deepest = int(np.bincount(bits).max())
+        self.padded = np.append(self.keys, np.zeros(self.deepest, np.uint64))
         #: Whether no piece goes on past a space, so that words can be split apart.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in (self.text[i] for i in plain))
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if i in set(self.byte.tolist()) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
@@ -97,23 +103,25 @@ class Pieces:
         h = 0
         for c in piece:
             h = (h * int(BASE) + ord(c) + 1) & (2**64 - 1)
-        h = (h + len(piece) * int(LENGTH)) & (2**64 - 1)
-        h ^= h >> 32
-        return (h * 0xFF51AFD7ED558CCD) & (2**64 - 1)
+        return (h + len(piece) * int(LENGTH)) * int(SPREAD) & (2**64 - 1)
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these hashes are pieces', ascending, and those pieces."""
+        bits = keys >> np.uint64(64 - FIRST_BITS)
+        maybe = np.flatnonzero(self.present[bits])
+        at, own = self.first[bits[maybe]], keys[maybe]
+        right = self.padded[at] == own
+        for step in range(1, self.deepest):
+            also = self.padded[at + step] == own
+            at[also] += step
+            right |= also
+        return maybe[right], self.ids[at[right]]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The pieces with these hashes; -1 where there is none."""
-        first = (keys >> np.uint64(48)).astype(np.int64)
-        at = self.start[first]
-        end = self.start[first + 1]
         out = np.full(len(keys), -1, np.int64)
-        todo = np.flatnonzero(at < end)
-        while len(todo):
-            hit = self.keys[at[todo]] == keys[todo]
-            out[todo[hit]] = self.ids[at[todo[hit]]]
-            todo = todo[~hit]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
+        where, found = self.hits(keys)
+        out[where] = found
         return out
 
 
@@ -127,26 +135,29 @@ class Batch:
 
     def __init__(self, words: list[str], vocabulary: Pieces) -> None:
         self.n, self.length, self.vocabulary = len(words), len(words[0]), vocabulary
-        self.codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(self.n, self.length).astype(np.uint64)
-        self.prefix = np.zeros((self.n, self.length + 1), np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(self.n, self.length)
+        #: By position, then word: what a step reads lies together.
+        self.codes = np.ascontiguousarray(codes.T)
+        self.prefix = np.zeros((self.length + 1, self.n), np.uint64)
         for k in range(self.length):
-            self.prefix[:, k + 1] = self.prefix[:, k] * BASE + self.codes[:, k] + np.uint64(1)
+            self.prefix[k + 1] = self.prefix[k] * BASE + (self.codes[k] + np.uint64(1))
         self.power = np.array([pow(int(BASE), k, 2**64) for k in range(self.length + 1)], np.uint64)
 
     def key(self, rows: np.ndarray | slice, start: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         size = end - start
-        h = self.prefix[rows, end] - self.prefix[rows, start] * self.power[size]
-        h = h + (np.uint64(size * int(LENGTH) % 2**64) if np.isscalar(size) else size.astype(np.uint64) * LENGTH)
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xFF51AFD7ED558CCD)
-
-    def spans(self, end: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each start of a substring up to ``end``: the start, and the piece it is in each word, or -1."""
+        h = self.prefix[start, rows] * self.power[size]
+        np.subtract(self.prefix[end, rows], h, out=h)
+        h += np.uint64(size * int(LENGTH) % 2**64) if np.isscalar(size) else size.astype(np.uint64) * LENGTH
+        h *= SPREAD
+        return h
+
+    def spans(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each start of a substring up to ``end``, the nearest first: the start, the words in which the substring is a piece, and the pieces."""
         for size in range(1, min(end, self.vocabulary.longest) + 1):
-            yield end - size, self.vocabulary.find(self.key(slice(None), end - size, end))
+            yield end - size, *self.vocabulary.hits(self.key(slice(None), end - size, end))
 
     def utf8(self, column: int, rows: np.ndarray) -> list[bytes]:
-        return [chr(int(c)).encode("utf-8", "surrogatepass") for c in self.codes[rows, column]]
+        return [chr(int(c)).encode("utf-8", "surrogatepass") for c in self.codes[column, rows]]
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:

@@ -10,7 +10,6 @@ Words are counted and scored once each, not once per occurrence. Documents meet
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import WordHashes, as_bytes, class_key, cut, field, map_texts, slices, table
+from tracklake.llm.common import Fresh, Tokens, as_bytes, cut, field, map_texts, slices, sort_segments, table, word_hashes
 from tracklake.llm.lattice import SPACE, Batch, Pieces, by_length, pieces
 
 #: Rounds of expectation and maximisation.
 ROUNDS = 4
 #: What each piece counts beyond its occurrences, so that none is impossible.
 SMOOTHING = 0.02
-#: Words that a mapper counts before it sends them.
-COUNTED = 300_000
+#: Words, repeated ones too, that a mapper counts before it sends them.
+COUNTED = 2_500_000
 #: Tokens of one hash range, about.
 GROUP = 8_000_000
 #: Distinct words of documents that a mapper gathers before it sends them.
@@ -69,7 +68,7 @@ def refitted(v: Pieces, counts: np.ndarray, ends: float) -> Weights:
 
 def spelling(batch: Batch, column: int, rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """For characters that are no piece: which of the distinct ones each is, and the ids that spell those."""
-    distinct, which = np.unique(batch.codes[rows, column], return_inverse=True)
+    distinct, which = np.unique(batch.codes[column, rows], return_inverse=True)
     v = batch.vocabulary
     return which, [[int(v.byte[x]) for x in chr(int(c)).encode("utf-8", "surrogatepass")] if v.byte[0] >= 0 else [v.unknown] for c in distinct]
 
@@ -79,14 +78,15 @@ def forward(batch: Batch, weights: np.ndarray, keep: list | None = None) -> np.n
     alpha = np.full((batch.length + 1, batch.n), -np.inf)
     alpha[0] = 0.0
     for end in range(1, batch.length + 1):
-        for start, found in batch.spans(end):
-            hit = np.flatnonzero(found >= 0)
+        for start, hit, found in batch.spans(end):
             if len(hit):
-                alpha[end, hit] = np.logaddexp(alpha[end, hit], alpha[start, hit] + weights[found[hit]])
+                alpha[end, hit] = np.logaddexp(alpha[end, hit], alpha[start, hit] + weights[found])
                 if keep is not None:
-                    keep.append((start, end, hit, found[hit], None))
+                    keep.append((start, end, hit, found, None))
             if end - start == 1 and len(hit) < batch.n:
-                rest = np.flatnonzero(found < 0)
+                missed = np.ones(batch.n, bool)
+                missed[hit] = False
+                rest = np.flatnonzero(missed)
                 which, ids = spelling(batch, start, rest)
                 cost = np.array([weights[x].sum() for x in ids])[which]
                 alpha[end, rest] = np.logaddexp(alpha[end, rest], alpha[start, rest] + cost)
@@ -137,23 +137,31 @@ def word_counts(df: DataFrame) -> DataFrame:
     """(word, times in training) for every word of all documents; ``df`` has text and held_out."""
     source = df.select(F.col("text").cast("string").alias("body"), F.col("held_out"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-
-        def sent() -> pa.RecordBatch:
-            rest = [w for w in other if w not in trained]
-            return pa.RecordBatch.from_arrays([pa.array([*trained, *rest], pa.binary()), pa.array([*trained.values(), *[0] * len(rest)], pa.int64())], names=["word", "times"])
+    def counted(parts: list[tuple[Tokens, np.ndarray]]) -> pa.RecordBatch:
+        h = np.concatenate([t.hashes for t, _ in parts])
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        times = np.bincount(which, weights=np.concatenate([w for _, w in parts]), minlength=len(distinct))
+        words: list[bytes] = []
+        order = np.sort(first)
+        lo = 0
+        for t, _ in parts:
+            words += t.words(order[(order >= lo) & (order < lo + len(t.hashes))] - lo)
+            lo += len(t.hashes)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times[which[order]].astype(np.int64))], names=["word", "times"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for whole in batches:
             for b in slices(whole, "body"):
-                for t, out in zip(as_bytes(b, "body"), b.column("held_out").to_pylist(), strict=True):
-                    (other if out else trained).update(t.lower().split())
-                if len(trained) + len(other) > COUNTED:
-                    yield sent()
-                    trained.clear()
-                    other.clear()
-        yield sent()
+                tokens = Tokens(as_bytes(b, "body"))
+                trains = 1.0 - np.array(b.column("held_out").to_pylist(), float)
+                parts.append((tokens, np.repeat(trains, tokens.counts)))
+                n += len(tokens.hashes)
+                if n > COUNTED:
+                    yield counted(parts)
+                    parts, n = [], 0
+        if n:
+            yield counted(parts)
 
     return source.mapInArrow(run, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times"))
 
@@ -201,12 +209,12 @@ def packed_words(words: DataFrame, path: str, weights: np.ndarray, bits: int) ->
     """The words by hash range: hashes, times in training, log probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes = pieces(path), WordHashes()
+        v = pieces(path)
         for b in batches:
             own = b.column("word").to_pylist()
             if not own:
                 continue
-            h = np.fromiter(map(hashes.__missing__, own), np.uint64, len(own))
+            h = word_hashes(own)
             logs = word_log_probabilities([w.decode("utf-8", "replace") for w in own], v, weights)
             order, ranges = hash_ranges(h, bits)
             h, logs, times = h[order], logs[order], b.column("times").to_numpy()[order]
@@ -215,20 +223,22 @@ def packed_words(words: DataFrame, path: str, weights: np.ndarray, bits: int) ->
     return words.mapInArrow(run, PACKED)
 
 
+def distinct_words(tokens: Tokens, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of each document's distinct words, the documents' numbers, and how often each word is in it."""
+    sizes = tokens.counts[docs]
+    ends = np.cumsum(sizes)
+    h = tokens.hashes[np.repeat(tokens.first[docs] - ends + sizes, sizes) + np.arange(sizes.sum())]
+    sort_segments(h, np.concatenate([[0], ends]))
+    at = np.repeat(np.arange(len(docs)), sizes)
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])]))
+    return h[first], at[first], np.diff(first, append=len(h))
+
+
 def packed_documents(df: DataFrame, bits: int) -> DataFrame:
     """The distinct words of each class of equal word sequences by hash range: classes, words of each, hashes, times."""
     source = df.select(F.col("text").cast("string").alias("body"))
 
-    def pack(docs: dict[int, list[bytes]], hashes: WordHashes) -> pa.RecordBatch:
-        keys = np.array(list(docs), np.int64)
-        sizes = [len(w) for w in docs.values()]
-        h = np.fromiter(map(hashes.__getitem__, (x for w in docs.values() for x in w)), np.uint64, sum(sizes))
-        doc = np.repeat(np.arange(len(keys)), sizes)
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
-        times = np.diff(first, append=len(h))
-        h, doc = h[first], doc[first]
+    def pack(keys: np.ndarray, h: np.ndarray, doc: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         order, ranges = hash_ranges(h, bits)
         h, doc, times = h[order], doc[order], times[order]
         rows = []
@@ -238,25 +248,23 @@ def packed_documents(df: DataFrame, bits: int) -> DataFrame:
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = WordHashes(), set()
-        held: dict[int, list[bytes]] = {}
-        n = 0
+        fresh = Fresh()
+        held, n, docs_held = [], 0, 0
         for whole in batches:
             for b in slices(whole, "body"):
-                for t in as_bytes(b, "body"):
-                    words = t.lower().split()
-                    key = class_key(words)
-                    if key is not None and key not in sent:
-                        if len(sent) > 1_000_000:
-                            sent.clear()
-                        sent.add(key)
-                        held[key] = words
-                        n += len(words)
-                        if n >= BUFFER:
-                            yield pack(held, hashes)
-                            held, n = {}, 0
+                tokens = Tokens(as_bytes(b, "body"))
+                docs = fresh(tokens)
+                if not len(docs):
+                    continue
+                h, at, times = distinct_words(tokens, docs)
+                held.append((tokens.sequence_keys()[docs], h, at + docs_held, times))
+                docs_held += len(docs)
+                n += len(h)
+                if n >= BUFFER:
+                    yield pack(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n, docs_held = [], 0, 0
         if held:
-            yield pack(held, hashes)
+            yield pack(*map(np.concatenate, zip(*held, strict=True)))
 
     return source.mapInArrow(run, PACKED)
 
@@ -303,7 +311,11 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     weights = fit(words, ends, where, rounds)
     both = packed_words(words, where, weights.piece, bits).union(packed_documents(docs, bits))
     scores = class_scores(both, denominator)
-    label = lambda texts: [list(x) for x in zip(*[(class_key(w), len(w)) for w in (t.lower().split() for t in texts)], strict=True)]
+
+    def label(texts: list[bytes]) -> list:
+        tokens = Tokens(texts)
+        return [tokens.classes(), tokens.counts]
+
     members = map_texts(docs, "text", ["doc_id", "held_out"], [field("class", T.LongType()), field("words", T.LongType())], label)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return members.join(scores, "class", "left").select(

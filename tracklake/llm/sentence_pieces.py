@@ -74,20 +74,19 @@ def viterbi(words: list[str], vocabulary: Pieces) -> Iterator[Found]:
         back = np.zeros((batch.length + 1, batch.n), np.int32)
         piece = np.full((batch.length + 1, batch.n), -1, np.int64)
         for end in range(1, batch.length + 1):
-            for start, found in batch.spans(end):
-                hit = np.flatnonzero(found >= 0)
+            for start, hit, found in batch.spans(end):
                 if end - start == 1:  # the first to reach this end
                     best[end] = best[start] + lowest
-                    best[end, hit] = best[start, hit] + vocabulary.score[found[hit]]
+                    best[end, hit] = best[start, hit] + vocabulary.score[found]
                     back[end] = start
-                    piece[end] = found
+                    piece[end, hit] = found
                     continue
-                score = best[start, hit] + vocabulary.score[found[hit]]
+                score = best[start, hit] + vocabulary.score[found]
                 better = score > best[end, hit]
                 hit = hit[better]
                 best[end, hit] = score[better]
                 back[end, hit] = start
-                piece[end, hit] = found[hit]
+                piece[end, hit] = found[better]
         rows, starts, chosen = [], [], []
         live, at = np.arange(batch.n), np.full(batch.n, batch.length)
         while len(live):
