@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import struct
 from datetime import date, datetime
 
 import pytest
@@ -96,3 +97,18 @@ def test_privacy_state():
     assert plate_state(True, names, shown, "Z", hashed) == "ha"
     assert plate_state(False, names, shown, "hb", hashed) == "B"
     assert plate_state(False, names, shown, "Z", hashed) == "A"
+
+
+def test_shapefile(spark, tmp_path):
+    squares = {"North": [[(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)], [(0.5, 0.5), (1.0, 0.5), (1.0, 1.0), (0.5, 0.5)]], "South": [[(5.0, 5.0), (5.0, 6.0), (6.0, 6.0), (5.0, 5.0)]]}
+    shp, dbf = b"\0" * 100, b""
+    for i, (name, rings) in enumerate(squares.items()):
+        points = [p for r in rings for p in r]
+        first = [sum(map(len, rings[:k])) for k in range(len(rings))]
+        body = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *first) + b"".join(struct.pack("<2d", *p) for p in points)
+        shp += struct.pack(">2i", i + 1, len(body) // 2) + body
+        dbf += b" " + name.encode().ljust(10)
+    (tmp_path / "a.shp").write_bytes(shp)
+    (tmp_path / "a.dbf").write_bytes(b"\3\0\0\0" + struct.pack("<IHH", 2, 65, 11) + b"\0" * 20 + b"NAME_1".ljust(11, b"\0") + b"C\0\0\0\0" + bytes([10]) + b"\0" * 15 + b"\r" + dbf)
+    assert polygons.from_shapefile(spark, str(tmp_path / "a.shp"), "NAME_1", "North") == [e for r in squares["North"] for e in polygons.ring_edges(r)]
+    assert len(polygons.from_shapefile(spark, str(tmp_path / "a.shp"))) == 10

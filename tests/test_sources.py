@@ -6,7 +6,7 @@ import pytest
 
 from tracklake.plans import cleaning, study
 from tracklake.plans.adapter import read_points
-from tracklake.sources import csv_points, parquet
+from tracklake.sources import csv_points, memory, parquet
 from tracklake.streaming import tracks
 
 ROWS = """c,t,京A12345,2019-11-25 01:02:03,116.1,39.9,30.5,1,x,y,z
@@ -71,3 +71,8 @@ def test_stream_matches_batch(spark, tmp_path):
     assert [r.is_temporal_gap for r in got] == [None, False, False, True] * 2
     counted = tracks.counts_by_window(spark.createDataFrame(rows, schema), "10 seconds").orderBy("start").collect()
     assert [r.n for r in counted] == [6, 2]
+
+
+def test_points_from_columns(spark):
+    rows = memory.points_from_columns(spark, {"license_plate": ["A", "B"], "timestamp": ["2019-11-25T01:02:03", "bad"], "latitude": [1.0, 2.0]}).collect()
+    assert [r.timestamp for r in rows] == [datetime(2019, 11, 25, 1, 2, 3), None]

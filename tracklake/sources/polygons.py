@@ -1,11 +1,12 @@
-"""Polygons as edges, from WKT, GeoJSON, or a table of edges. Boundaries are small; they are read on the driver."""
+"""Polygons as edges, from WKT, GeoJSON, shapefiles, or a table of edges. Boundaries are small; they are read on the driver."""
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.functions.geodesy import Edge
 
@@ -50,3 +51,51 @@ def from_table(edges: DataFrame) -> list[Edge]:
     if len(rows) > MOST_EDGES:
         raise ValueError(f"a polygon of more than {MOST_EDGES} edges is too large for one expression")
     return [tuple(map(float, r)) for r in rows]
+
+
+def shape_rings(data: bytes) -> list[list[list[tuple[float, float]]]]:
+    """The rings of each record of a .shp file; records that are no polygons have none."""
+    out, at = [], 100
+    while at + 8 <= len(data):
+        size = 2 * struct.unpack(">i", data[at + 4 : at + 8])[0]
+        body = data[at + 8 : at + 8 + size]
+        at += 8 + size
+        rings = []
+        if struct.unpack("<i", body[:4])[0] in (5, 15, 25):
+            parts, points = struct.unpack("<2i", body[36:44])
+            first = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+            flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+            xy = list(zip(flat[::2], flat[1::2], strict=True))
+            rings = [xy[a:b] for a, b in zip(first, first[1:], strict=False)]
+        out.append(rings)
+    return out
+
+
+def table_rows(data: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
+    """The records of a .dbf file as text."""
+    n, head, size = struct.unpack("<IHH", data[4:12])
+    fields, at = [], 32
+    while data[at] != 0x0D:
+        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii"), data[at + 16]))
+        at += 32
+    out = []
+    for i in range(n):
+        own, row = head + i * size + 1, {}
+        for name, width in fields:
+            row[name] = data[own : own + width].decode(encoding, "replace").strip()
+            own += width
+        out.append(row)
+    return out
+
+
+def from_shapefile(spark: SparkSession, path: str, field: str | None = None, value: str | None = None) -> list[Edge]:
+    """Edges of a .shp file's polygons; with ``field``, of those whose attribute in the .dbf beside it has this value.
+
+    Coordinates are taken as longitude and latitude; other reference systems are not converted.
+    """
+    read = lambda p: bytes(spark.read.format("binaryFile").load(p).first().content)
+    shapes = shape_rings(read(path))
+    if field is not None:
+        rows = table_rows(read(re.sub(r"\.shp$", ".dbf", path)))
+        shapes = [s for s, r in zip(shapes, rows, strict=True) if r[field] == value]
+    return [e for rings in shapes for ring in rings for e in ring_edges(ring)]
