@@ -25,10 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; only where it names none, as in tests, one is made here."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or sc.getCheckpointDir()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import table
+from tracklake.llm.common import cut, table
 
 #: One line in so many ends a chunk.
 DIVISOR = 3
@@ -71,6 +71,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     order = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
     groups = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     repeated = groups.groupBy(F.md5("chunk").alias("hash")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("times").alias("times"), F.min("first").alias("first")).filter((F.col("chunks") == 1) & (F.col("times") > 1))
+    repeated = cut(repeated)  # so that the rows of a chunk that very many documents have can be split in the join
     later = hashed.select("id", "key", "place", F.col("chunk").alias("hash"), order.alias("order")).join(repeated.select("hash", "first"), "hash").filter(F.col("order") > F.col("first"))
     gone = later.groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
     kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
