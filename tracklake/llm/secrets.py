@@ -8,18 +8,16 @@ its format; what is as likely as the labelled ones is a secret too.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import field, map_texts, table
+from tracklake.llm.common import cut, field, map_texts, table
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -161,6 +159,7 @@ def fit_grammars(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> lis
         return [[[f"{k}{v}" for k, v in r] for r in rows]]
 
     values = map_texts(df, text, [], [field("values", T.ArrayType(T.StringType()))], label).select(F.explode("values").alias("value")).distinct()
+    values = cut(values)  # one scan of the texts for all kinds
     kinds = [values.filter(F.col("value").startswith(str(k))).orderBy(F.xxhash64("value"), "value").limit(sample) for k in range(3)]
     rows = kinds[0].union(kinds[1]).union(kinds[2]).collect()
     found: dict[str, list[str]] = defaultdict(list)
