@@ -22,7 +22,7 @@ CHUNK = 4096
 LEVEL = 3
 #: Production limits: (bytes, least ratio, greatest ratio); between two lengths they are interpolated over the
 #: logarithm of the length. Set once from labelled prose, a little outside what good documents show.
-BANDS = ((64, 0.60, 1.25), (128, 0.58, 1.05), (256, 0.52, 0.98), (512, 0.49, 0.88), (1024, 0.465, 0.78), (2048, 0.445, 0.70), (4096, 0.434, 0.64), (8192, 0.415, 0.62), (16384, 0.39, 0.60), (65536, 0.365, 0.60), (1 << 20, 0.33, 0.60))
+BANDS = ((64, 0.60, 1.25), (128, 0.58, 1.05), (256, 0.525, 0.98), (512, 0.50, 0.88), (724, 0.484, 0.83), (1024, 0.472, 0.78), (1448, 0.461, 0.74), (2048, 0.453, 0.70), (2896, 0.445, 0.67), (4096, 0.434, 0.64), (8192, 0.415, 0.62), (16384, 0.39, 0.60), (65536, 0.365, 0.60), (1 << 20, 0.33, 0.60))
 #: A chunk shorter than this says little; it counts only as the sole chunk.
 LEAST_CHUNK = 512
 #: The share of a document's judged chunk bytes that may lie outside the bands.
