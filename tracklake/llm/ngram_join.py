@@ -296,9 +296,13 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     indexed = cut(indexed_sets(shared_shingles(packed_shingles(df, text, bits, 1 << bits), bits, 1 << bits), percent))
     links = cut(similar_classes(indexed, percent))
     roots = connected_components(links)
-    placed = members.filter("class IS NOT NULL").join(indexed.select("class", "n"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    # Components are settled among classes; documents meet them last. Each table is written before a join on its key, so
+    # that Spark can split the rows of a large component, or of a text with very many copies, among tasks.
+    named = members.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = cut(indexed.select("class", "n").join(named, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "least", F.coalesce("root", "class").alias("root")))
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    told = cut(classes.join(least, "root").select("class", F.col("n").alias("n_shingles"), "component_id"))
+    out = members.filter("class IS NOT NULL").join(told, "class").select("doc_id", "n_shingles", "component_id")
     return out.union(members.filter("class IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
