@@ -31,7 +31,7 @@ PERCENT = 75
 #: Shingles that one group of the reducers holds, about.
 GROUP = 4_000_000
 #: Shingles that a mapper gathers before it sends them.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 #: Rounds in which sets are held against one likely relative, each by another order of the sets.
 ROUNDS = 3
 U8, U4, U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
@@ -165,6 +165,15 @@ def shared_shingles(packed: DataFrame, bits: int, groups: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(count, schema)
 
 
+def views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes in each row of a binary column, without copying them."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    edges = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield np.frombuffer(data, U8, (b - a) // 8, a)
+
+
 def indexed_sets(shared: DataFrame, percent: int) -> DataFrame:
     """Every class with its number of shingles n; those that can have a link also with their shared shingles (hashes)
     and the ones that are indexed: prefix, at the positions from ``place`` on in the order rarest first."""
@@ -200,7 +209,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common = [len(np.intersect1d(np.frombuffer(x, U8), np.frombuffer(y, U8), assume_unique=True)) for x, y in zip(b.column("h_a").to_pylist(), b.column("h_b").to_pylist(), strict=True)]
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(views(b.column("h_a")), views(b.column("h_b")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
 
     return both.mapInArrow(run, "a long, b long, n_a long, n_b long, common long")
