@@ -310,7 +310,7 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     bits = max(3, math.ceil(math.log2(max(1, tokens) / GROUP)))
     weights = fit(words, ends, where, rounds)
     both = packed_words(words, where, weights.piece, bits).union(packed_documents(docs, bits))
-    scores = class_scores(both, denominator)
+    scores = cut(class_scores(both, denominator))  # so that the rows of a text with very many copies can be split in the join
 
     def label(texts: list[bytes]) -> list:
         tokens = Tokens(texts)
