@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
@@ -36,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of tables that nothing holds any more.
+
+    It deletes them when the driver collects its garbage, which a driver with little to do puts off; so the files of all
+    finished steps of a long job would lie on disk together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each of about SLICE_BYTES of text or one longer row."""
     if not batch.num_rows:

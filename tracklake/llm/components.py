@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import cut
+from tracklake.llm.common import cut, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,4 +23,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if low.filter("was <> root").isEmpty():
             return low.select("node", "root")
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        release(low.sparkSession)
         labels = cut(low.select("node", "root").join(jump, "root").select("node", F.least("root", "far").alias("root")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import BASE, Fresh, Tokens, as_bytes, cut, field, map_texts, mix, slices, sort_segments, table
+from tracklake.llm.common import BASE, Fresh, Tokens, as_bytes, cut, field, map_texts, mix, release, slices, sort_segments, table
 from tracklake.llm.components import connected_components
 
 WORDS = 5
@@ -245,6 +245,7 @@ def similar_classes(indexed: DataFrame, percent: int, rounds: int = ROUNDS) -> D
         if k:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         tried = tried.union(cut(overlaps(pairs, sets)))
+        release(indexed.sparkSession)
     near = tried.filter(linked(percent))
     links = near.select("a", "b")
     roots = connected_components(links)
@@ -262,6 +263,7 @@ def similar_classes(indexed: DataFrame, percent: int, rounds: int = ROUNDS) -> D
     fits &= (100 + percent) * F.least("x.room", "y.room") >= percent * (F.col("x.least") + F.col("y.least"))
     centres = x.join(y, fits).select(F.least("x.block", "y.block").alias("a"), F.greatest("x.block", "y.block").alias("b")).distinct()
     between = cut(overlaps(centres, sets))
+    release(indexed.sparkSession)
     links = links.union(between.filter(linked(percent)).select("a", "b"))
     # Blocks whose centres are not linked: a member shares with the other centre at most what the centres share and what it
     # has beyond its own; what can reach the threshold is compared.
@@ -303,14 +305,18 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words = members.agg(F.sum("words")).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, words) / GROUP)))
     indexed = cut(indexed_sets(shared_shingles(packed_shingles(df, text, bits, 1 << bits), bits, 1 << bits), percent))
+    release(df.sparkSession)
     links = cut(similar_classes(indexed, percent))
+    release(df.sparkSession)
     roots = connected_components(links)
     # Components are settled among classes; documents meet them last. Each table is written before a join on its key, so
     # that Spark can split the rows of a large component, or of a text with very many copies, among tasks.
     named = members.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = cut(indexed.select("class", "n").join(named, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "least", F.coalesce("root", "class").alias("root")))
     least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    release(df.sparkSession)
     told = cut(classes.join(least, "root").select("class", F.col("n").alias("n_shingles"), "component_id"))
+    release(df.sparkSession)
     out = members.filter("class IS NOT NULL").join(told, "class").select("doc_id", "n_shingles", "component_id")
     return out.union(members.filter("class IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
