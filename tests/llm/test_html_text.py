@@ -40,3 +40,20 @@ def test_table(spark):
     rows = extract_text(df, keep=["page_id", "text"]).orderBy("page_id").collect()
     assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("marked", ['class="content with-sidebar"', 'id="page" class="no-sidebar"', 'class="nav-fixed"', 'class="post has-comments"', 'class="layout-widget"', 'class="page form"', "id=search"])
+@pytest.mark.parametrize("frame", ["", "<div class='sidebar'><p>Other words, of the frame.</p></div>", "<p>&copy; x</p>"])
+def test_marked_wrappers_keep_the_article(marked, frame):
+    text = f"Head {BODY.strip()} {BODY.strip()}"
+    assert main_text(f"<body><div {marked}><div><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div></div>{frame}</body>").startswith(text)
+    assert BODY.strip() in main_text(f"<body><div {marked}><p>{BODY}</p><p>{BODY}</p></div>{frame}</body>")
+
+
+def test_marked_frames_go():
+    article = f"<h1>Head</h1><p>{BODY}</p>"
+    for marked in ("class=comments", "class='comment-list'", "class='widget-area'", "id=site_nav", "role=complementary"):
+        frame = f"<div {marked}>" + f"<p>Said a reader, {BODY}</p>" * (3 if "comment" in marked else 1) + "</div>"
+        assert main_text(f"<body><div>{article}<p>{BODY}</p></div>{frame}</body>") == f"Head {BODY.strip()} {BODY.strip()}"
+    assert main_text(f"<article><div class='article-header'><h1>Head</h1></div><p>{BODY}</p></article>") == f"Head {BODY.strip()}"
+    assert main_text(f"<form><div class=login><p>{BODY}</p></div></form>") == BODY.strip()

@@ -25,6 +25,12 @@ LISTS = frozenset(("ul", "ol", "dl", "table"))
 DROPPED = RAW | frozenset("head nav header footer aside form button select input label fieldset dialog menu svg canvas object audio video math".split())
 #: Words in a class, id or role that mark such parts.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo complementary consent cookie cookies disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Marks of readers' own texts, which can be longer than the article.
+READERS = frozenset("comment comments disqus respond".split())
+#: Words that make a compound such as with-sidebar say how a page is laid out, not what an element is.
+STATES = frozenset("has have hide is no not show with without".split())
+#: A part that only its marks speak against, and that holds nearly all text, is kept if it has so many characters.
+WRAPPER_SHARE, WRAPPER_CHARS = 0.8, 250
 #: Elements whose marks don't drop them: their parts are judged alone.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
@@ -41,27 +47,33 @@ SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class Node:
-    __slots__ = ("blocks", "chars", "children", "link_chars", "points", "tag", "up")
+    __slots__ = ("chars", "children", "link_chars", "marks", "points", "sure", "tag", "up")
 
-    def __init__(self, tag: str, up: Node | None) -> None:
-        self.tag, self.up = tag, up
+    def __init__(self, tag: str, up: Node | None, marks: frozenset[str] = frozenset(), sure: bool = False) -> None:
+        self.tag, self.up, self.marks, self.sure = tag, up, marks, sure
         self.children: list[Node | tuple[str, int]] = []  # nodes, and blocks of text with the characters in links
         self.points = 0.0
         self.chars = self.link_chars = 0
 
 
-def dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in WHOLE:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(w in MARKS for m in MARKED.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def marks_of(attributes: str) -> tuple[frozenset[str], bool]:
+    """The marks in class, id and role, and whether one is a whole name there, not a part of a compound such as nav-fixed."""
+    found, sure = set(), False
+    for m in MARKED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = WORD.findall(name)
+            if not STATES.intersection(words):
+                own = MARKS.intersection(words)
+                found |= own
+                sure |= bool(own) and len(words) == 1
+    return frozenset(found), sure
 
 
-def parse(page: str) -> Node:
-    """The tree of what can be part of an article; text is gathered into blocks under the element that holds it."""
+def parse(page: str, marks: bool = True) -> Node:
+    """The tree of what can be part of an article; text is gathered into blocks under the element that holds it.
+
+    Marked elements stay in it, with their marks; without ``marks`` they are like others, and so are forms.
+    """
     root = Node("#", None)
     stack = [root]  # elements that hold blocks: the block-level ones
     inline: list[str] = []  # open elements within the line, of which only links count
@@ -133,7 +145,9 @@ def parse(page: str) -> Node:
             inner = next((n.tag for n in reversed(stack) if n.tag in LISTS or n.tag == other), "")
             if inner == other:
                 close(other)
-        if dropped(tag, attributes):
+        gone = tag in DROPPED and (marks or tag != "form") or bool(attributes) and tag not in WHOLE and bool(HIDDEN.search(attributes))
+        own, sure = marks_of(attributes) if marks and attributes and tag not in WHOLE and not gone else (frozenset(), False)
+        if gone or (sure and tag not in BLOCK):
             if tag in BLOCK:
                 flush()
             if tag not in VOID and not attributes.endswith("/"):
@@ -147,7 +161,7 @@ def parse(page: str) -> Node:
             flush()
             inline.clear()
             if len(stack) < 2000:
-                node = Node(tag, stack[-1])
+                node = Node(tag, stack[-1], own, sure)
                 stack[-1].children.append(node)
                 stack.append(node)
         else:
@@ -156,6 +170,40 @@ def parse(page: str) -> Node:
     return root
 
 
+def prune(root: Node) -> None:
+    """Takes the marked elements from the tree, but for those that hold the article or its title.
+
+    A frame stands beside the article and a wrapper holds it: most of the text that is not in links, and the title.
+    """
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += reversed([c for c in node.children if isinstance(c, Node)])
+    if not any(n.marks for n in nodes):
+        return
+    title = next((n for tag in ("h1", "h2") for n in nodes if n.tag == tag), None)
+    prose: dict[Node, int] = {}
+    holds: dict[Node, set[str]] = {}
+    for n in reversed(nodes):  # children before their parents
+        prose[n] = sum(prose[c] if isinstance(c, Node) else len(c[0]) - c[1] for c in n.children)
+        holds[n] = {n.tag} & WHOLE | ({"title"} if n is title else set())
+        for c in n.children:
+            if isinstance(c, Node):
+                holds[n] |= holds[c]
+
+    def stays(n: Node) -> bool:
+        most, readers = 2 * prose[n] > prose[root], not n.marks.isdisjoint(READERS)
+        if holds[n] & {"title", "main"} and (most or not n.sure):
+            return True
+        if not n.sure or "article" in holds[n]:
+            return most and not readers
+        return not readers and prose[n] >= WRAPPER_CHARS and prose[n] > WRAPPER_SHARE * prose[root]
+
+    for n in nodes:
+        n.children = [c for c in n.children if not isinstance(c, Node) or not c.marks or stays(c)]
+
+
 def score(root: Node) -> list[Node]:
     """All elements that got points; a paragraph is any block of text."""
     nodes, todo = [], [root]
@@ -200,7 +248,12 @@ def blocks_of(node: Node) -> list[str]:
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by a space; empty if the page has no text outside its frame."""
-    nodes = score(parse(page))
+    return article_text(parse(page)) or article_text(parse(page, marks=False))
+
+
+def article_text(root: Node) -> str:
+    prune(root)
+    nodes = score(root)
     holders = [n for n in nodes if n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
     if not holders:
         return ""
