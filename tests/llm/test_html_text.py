@@ -57,3 +57,24 @@ def test_marked_frames_go():
         assert main_text(f"<body><div>{article}<p>{BODY}</p></div>{frame}</body>") == f"Head {BODY.strip()} {BODY.strip()}"
     assert main_text(f"<article><div class='article-header'><h1>Head</h1></div><p>{BODY}</p></article>") == f"Head {BODY.strip()}"
     assert main_text(f"<form><div class=login><p>{BODY}</p></div></form>") == BODY.strip()
+
+
+LONG = ("Some words of the text, and others, " + "and more " * 29).strip()
+SECTIONS = "<section>" + f"<p>{LONG}</p>" * 20 + "</section><section>" + f"<p>{LONG}</p>" * 2 + "</section>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>Head</h1>{SECTIONS}</article>", " ".join(["Head", *[LONG] * 22])),
+        (f"<article><h1>Head</h1><div class=body>{SECTIONS}</div></article>", " ".join(["Head", *[LONG] * 22])),
+        (f"<article><header><h1>Head</h1></header><div>{SECTIONS}</div></article>", " ".join(["Head", *[LONG] * 22])),
+        (f"<main><h1>Head</h1><div>{SECTIONS}</div><p>Short.</p><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></main>", " ".join(["Head", *[LONG] * 22, "Short. one two c1 c2"])),
+        (f"<body><div><h1>Head</h1><div>{SECTIONS}</div><div><h2>Part</h2><p>{BODY}</p></div></div></body>", " ".join(["Head", *[LONG] * 22, "Part", BODY.strip()])),
+        (f"<body><h1>Head</h1><article>{SECTIONS}</article></body>", " ".join(["Head", *[LONG] * 22])),
+        (f"<article><div><div>{SECTIONS}</div></div><div><p>{BODY}</p></div><div><h3>More</h3><ul><li><a href=x>other page</a><li><a href=y>and one more</a></ul></div></article>", " ".join([*[LONG] * 22, BODY.strip()])),
+        (f"<body><div><a href=a>one page</a></div><div>{SECTIONS}</div><ul><li><a href=x>other page</a></ul><div>&copy; x</div></body>", " ".join([LONG] * 22)),
+    ],
+)
+def test_all_of_the_article(page, text):
+    assert main_text(page) == text

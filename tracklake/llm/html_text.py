@@ -1,7 +1,8 @@
 """Operator 3: HTML extraction by tree scoring.
 
 A tolerant parser builds the element tree. Paragraphs pass points for their length and commas to their ancestors;
-a container's points are discounted by its link density. The best container and its good siblings are the article.
+a container's points are discounted by its link density. The article is what holds the best container, less its parts
+that are mostly links.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS_END_AT = BLOCK - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head"))
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LISTS = frozenset(("ul", "ol", "dl", "table"))
 #: Elements that are no part of an article.
 DROPPED = RAW | frozenset("head nav header footer aside form button select input label fieldset dialog menu svg canvas object audio video math".split())
@@ -42,7 +44,9 @@ WORD = re.compile(r"[a-z]+")
 FULL, LONG_CHARS, MOST_LENGTH_POINTS = 1.0, 100, 3.0
 #: A container's own points by its element.
 OWN = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 2.0, "td": 1.0, "blockquote": 1.0}
-#: A sibling container stays with this share of the best one's points; a lone paragraph, if so long and with few links.
+#: Around the best container, text in which more than this share is links is no article.
+MOST_LINKS = 0.5
+#: Beside the article, a container stays with this share of the best one's points; a lone paragraph, if so long and with few links.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
@@ -145,7 +149,8 @@ def parse(page: str, marks: bool = True) -> Node:
             inner = next((n.tag for n in reversed(stack) if n.tag in LISTS or n.tag == other), "")
             if inner == other:
                 close(other)
-        gone = tag in DROPPED and (marks or tag != "form") or bool(attributes) and tag not in WHOLE and bool(HIDDEN.search(attributes))
+        framed = tag in DROPPED and (marks or tag != "form") and (tag != "header" or all(n.tag not in ("article", "main") for n in stack))
+        gone = framed or bool(attributes) and tag not in WHOLE and bool(HIDDEN.search(attributes))
         own, sure = marks_of(attributes) if marks and attributes and tag not in WHOLE and not gone else (frozenset(), False)
         if gone or (sure and tag not in BLOCK):
             if tag in BLOCK:
@@ -254,23 +259,69 @@ def main_text(page: str) -> str:
 def article_text(root: Node) -> str:
     prune(root)
     nodes = score(root)
-    holders = [n for n in nodes if n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
+    holders = [n for n in nodes if n.tag not in HEADINGS and n.tag != "p"]
     if not holders:
         return ""
     best = max(holders, key=judged)
-    kept = []
-    for c in best.up.children if best.up else [best]:
-        if c is best:
-            kept += blocks_of(best)
-        elif isinstance(c, Node):
-            alike = judged(c) >= SIBLING_SHARE * judged(best) and c.tag not in ("ul", "ol", "table")
-            if c.chars and (alike or c.tag == "p") and c.chars >= SIBLING_CHARS and c.link_chars <= SIBLING_LINKS * c.chars:
-                kept += blocks_of(c)
-        elif len(c[0]) >= SIBLING_CHARS and c[1] <= SIBLING_LINKS * len(c[0]):
-            kept.append(c[0])
+    top = outermost(best)
+    kept = article_blocks(top, best)
+    if top.up:
+        near = top.up.children
+        at = near.index(top)
+        kept = [x for c in near[:at] for x in beside(c, best)] + kept + [x for c in near[at + 1 :] for x in beside(c, best)]
     return " ".join(kept)
 
 
+def outermost(best: Node) -> Node:
+    """The article or main element around the best container; without one, the farthest container around it in which
+    most text is not links."""
+    line = [best]
+    while line[-1].up:
+        line.append(line[-1].up)
+    named = [n for n in line if n.tag in ("article", "main")]
+    if named:
+        return named[-1]
+    top = best
+    while top.up and top.up.link_chars <= MOST_LINKS * top.up.chars:
+        top = top.up
+    return top
+
+
+def article_blocks(top: Node, best: Node) -> list[str]:
+    """The blocks of the best container, and those of all else in ``top`` that is not mostly links."""
+    line = set()
+    n: Node | None = best
+    while n is not top:
+        line.add(n)
+        n = n.up
+    line.add(top)
+    out: list[str] = []
+    todo: list[tuple[Node | tuple[str, int], bool]] = [(top, top.tag in ("article", "main"))]
+    while todo:
+        c, short = todo.pop()  # and whether short parts stay there
+        if not isinstance(c, Node):
+            if c[1] <= SIBLING_LINKS * len(c[0]) and (short or len(c[0]) >= SIBLING_CHARS):
+                out.append(c[0])
+        elif c is best or c.tag == "h1" or (c.tag in HEADINGS and (short or c.up in line)):
+            out += blocks_of(c)
+        elif c in line:
+            todo += [(x, short) for x in reversed(c.children)]
+        elif c.link_chars > SIBLING_LINKS * c.chars:
+            todo += [(x, False) for x in reversed(c.children)]
+        elif short or c.chars >= SIBLING_CHARS or (c.tag == "p" and c.up in line):
+            out += blocks_of(c)
+    return out
+
+
+def beside(c: Node | tuple[str, int], best: Node) -> list[str]:
+    """The blocks of a neighbour of the article if it is part of it: alike in points, a long paragraph, or the title."""
+    if not isinstance(c, Node):
+        return [c[0]] if len(c[0]) >= SIBLING_CHARS and c[1] <= SIBLING_LINKS * len(c[0]) else []
+    alike = judged(c) >= SIBLING_SHARE * judged(best) and c.tag not in ("ul", "ol", "table")
+    good = c.chars and (alike or c.tag == "p") and c.chars >= SIBLING_CHARS and c.link_chars <= SIBLING_LINKS * c.chars
+    return blocks_of(c) if good or c.tag == "h1" else []
+
+
 def extract_text(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Every row with the page's main text and its length in code points.
 
