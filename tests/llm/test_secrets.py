@@ -66,3 +66,35 @@ def test_table_and_stage(spark):
     assert out.columns == df.columns and out.count() == len(rows)
     assert {r.text for r in out.collect()} == {"x [secret] y", "", "[secret]"}
     assert secrets.find_secrets(df.limit(0), secrets.fit_grammars(df.limit(0))).count() == 0
+
+
+def test_automata_see_parts_of_candidates():
+    grammars = [secrets.Automaton(hexes(300))]
+    added = lambda text: [text[s:e] for s, k, e in secrets.all_spans(text, grammars)[1] if k == 3]
+    key, other, short = "0d" + hexes(1, 7, 18)[0], "e5" + hexes(1, 8, 21)[0], "0d4c8a1f"
+    long = hexes(1, 9)[0]
+    for text, want in [
+        (f"AUTH={key}", [key]),
+        (f"see path/to/{key} there", [key]),
+        (f"It was {other}.", [other]),
+        (f"x.y/z={key}/more, {key}_{other}", [key, key, other]),
+        (f"the {short} here", [short]),
+        ("abcdefabcdefabcdef", ["abcdefabcdefabcdef"]),
+        (f"{key}/{long}/AUTH={other}", [key, other]),
+        ("of the facade, mail6.example.com, Inthewords.2019-12, 2019-12-24 and v1.2.3", []),
+    ]:
+        assert added(text) == want, text
+    run = "a1/" * 100_000 + key
+    assert added(run) == [key]
+
+
+def test_added_spans_do_not_overlap():
+    rng = random.Random(5)
+    grammars = [secrets.Automaton(hexes(300))]
+    parts = [*hexes(5, 6, 30), *hexes(5, 7, 12), "token=", "AUTH", "=", "/", ".", "-", " ", "word"]
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        base, every = secrets.all_spans(text, grammars)
+        own = [(s, e) for s, k, e in every if k == 3]
+        assert all(e <= s for (_, e), (s, _) in zip(own, own[1:], strict=False))
+        assert all(e <= s or t <= b for b, e in own for s, _, t in base)

@@ -23,9 +23,13 @@ KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the automata are asked about: tokens of the credentials' alphabet with a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: What the automata are asked about: runs of the credentials' alphabet with a digit, or so long that no word is meant,
+#: and their parts at these separators, the weakest last. A letter is always needed.
+LEAST_LENGTH, LONG = 6, 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+|[A-Za-z+/_.=-]{{{LONG},}}+)")
 LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+SEPARATORS = ("=", "/", ".", "+_-")
+PUNCTUATION = "+/_.=-"
 #: Labelled credentials of a kind that an automaton is fitted on: those with the smallest hashes, over all documents.
 SAMPLE = 500
 #: Fewer than this are too few to infer a format from.
@@ -168,20 +172,59 @@ def fit_grammars(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> lis
     return [Automaton(sorted(v)) for _, v in sorted(found.items()) if len(v) >= LEAST_SAMPLE]
 
 
+def accepted(word: str, grammars: list[Automaton]) -> bool:
+    if len(word) < LEAST_LENGTH or not LETTER.search(word) or not (len(word) >= LONG or DIGIT.search(word)):
+        return False
+    return any(g.score(word) >= g.least for g in grammars)
+
+
+def parts_accepted(text: str, start: int, end: int, grammars: list[Automaton]) -> list[tuple[int, int]]:
+    """The spans that the automata accept in a run: the run itself, without the punctuation around it if that does
+    better, or else what they accept in its parts at the first separator, and so on."""
+    found, todo = [], [(start, end, 0)]
+    while todo:
+        start, end, level = todo.pop()
+        word = text[start:end]
+        lo = start + len(word) - len(word.lstrip(PUNCTUATION))
+        hi = lo + len(word.strip(PUNCTUATION))
+        if hi - lo < LEAST_LENGTH:
+            continue
+        if accepted(text[lo:hi], grammars):
+            # punctuation that labelled values show, such as padding, belongs to the value
+            better = any(g.score(word) >= max(g.least, g.score(text[lo:hi])) for g in grammars) if hi - lo < end - start else False
+            found.append((start, end) if better else (lo, hi))
+        elif hi - lo < end - start and accepted(word, grammars):
+            found.append((start, end))
+        else:
+            while level < len(SEPARATORS) and not any(c in word for c in SEPARATORS[level]):
+                level += 1
+            if level < len(SEPARATORS):
+                at = start
+                for i in [*(i for i, c in enumerate(word, start) if c in SEPARATORS[level]), end]:
+                    if i - at >= LEAST_LENGTH:
+                        todo.append((at, i, level + 1))
+                    at = i + 1
+    return found
+
+
 def all_spans(text: str, grammars: list[Automaton]) -> tuple[list, list]:
     """The base spans, and those with the tokens that the automata add, which overlap no base span."""
     base = [(start, kind, end) for start, kind, end, _ in base_spans(text)]
     added, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text) if grammars else ():
-        start, end = m.span()
-        if not (DIGIT.search(m[0]) and LETTER.search(m[0])):
+        at, end = m.span()
+        if end - at < LEAST_LENGTH:
             continue
         while i < len(base) and base[i][0] < end:
+            at = max(at, reach)
+            if base[i][0] - at >= LEAST_LENGTH:
+                added += parts_accepted(text, at, base[i][0], grammars)
             reach = max(reach, base[i][2])
             i += 1
-        if reach <= start and any(g.score(m[0]) >= g.least for g in grammars):
-            added.append((start, 3, end))
-    return base, sorted(base + added)
+        at = max(at, reach)
+        if end - at >= LEAST_LENGTH:
+            added += parts_accepted(text, at, end, grammars)
+    return base, sorted(base + [(start, 3, end) for start, end in added])
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
