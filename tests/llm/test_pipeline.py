@@ -31,3 +31,22 @@ def test_run(spark, tmp_path):
     want = {(i, k, hi - lo) for i, t in clean for e in [packing.piece_edges(len(coder.encode(t)) + 1, 1024)] for k, (lo, hi) in enumerate(zip(e, e[1:], strict=False))}
     assert {(r.doc_id, r.piece, r.length) for r in got} == want
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "secret scans", "best-fit packing"]
+
+
+def test_run_with_automata(spark, tmp_path):
+    rng = random.Random(3)
+    parts = "th er ing on re and es st en at ed nd ti ha ou ea nt or ly wh an in he sh ble".split()
+    prose = lambda n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(n))
+    key = lambda n: "0d" + "".join(rng.choices("0123456789abcdef", k=n - 2))
+    texts = [f"{prose(60)} token = {key(40)}" for _ in range(secrets.LEAST_SAMPLE + 10)] + [f"{prose(60)} AUTH={key(20)}" for _ in range(3)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    kept = [(i, t) for i, t in enumerate(texts) if quality.judge([t.encode()])[-1][0]]
+    assert len([i for i, _ in kept if i < len(texts) - 3]) >= secrets.LEAST_SAMPLE and {i for i, _ in kept} >= set(range(len(texts) - 3, len(texts)))
+    values = {v for _, t in kept for v in secrets.labelled_values(t)}
+    grammars = [secrets.Automaton(sorted(v for k, v in values if k == kind)) for kind in (0, 2)]
+    coder = packing.tokenizer(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    clean = {i: secrets.redact(t, secrets.all_spans(t, grammars)[1]) for i, t in kept}
+    assert all(clean[i].endswith("AUTH=[secret]") for i in range(len(texts) - 3, len(texts)))
+    assert got == {i: len(coder.encode(t)) + 1 for i, t in clean.items()}

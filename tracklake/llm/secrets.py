@@ -155,7 +155,8 @@ def labelled_values(text: str) -> set[tuple[int, str]]:
 def fit_grammars(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[Automaton]:
     """An automaton for each kind that has enough labelled credentials among all texts.
 
-    Every text is scanned; of each kind's distinct values the ``sample`` with the smallest hashes are fitted on.
+    Every text is scanned; of each kind's distinct values the ``sample`` with the smallest hashes are fitted on. A kind
+    with fewer than LEAST_SAMPLE gets none, so of a small table, or of a rare kind, only the fixed rules find secrets.
     """
 
     def label(texts: list[bytes]) -> list:
