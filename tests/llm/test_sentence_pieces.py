@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -65,3 +68,47 @@ def test_table(spark):
     back = sp.decode_documents(out).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in back] == [(None, "a"), (1, "the thing"), (1, "the thing"), (2, ""), (3, "")]
     assert sp.encode_documents(df.limit(0)).count() == 0
+
+
+def test_very_long_words(spark):
+    rng = random.Random(12)
+    v = pieces(PATH)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/ß", k=200_000))
+    began = time.perf_counter()
+    for kind in (sp.UNIGRAM, sp.BPE):
+        ((ids, _),) = sp.Encoder(v, kind).encode([word])
+        assert sp.decode(ids[0], v) == word
+    assert time.perf_counter() - began < 20
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    short = word[:5000]
+    assert sp.Encoder(v).encode([short])[0][0][0].tolist() == model.encode(short)
+
+
+def test_one_word_equals_the_batch(monkeypatch):
+    rng = random.Random(13)
+    v = pieces(PATH)
+    words = [SPACE + "".join(rng.choices(["th", "er", "ing", "ß", "q", "0"], k=rng.randint(1, 40))) for _ in range(300)]
+    ids = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(sp, "FEW", few)
+        found = {}
+        for places, flat, counts, scores in sp.viterbi(words, v):
+            for place, own, score in zip(places, np.split(flat, np.cumsum(counts)[:-1]), scores, strict=True):
+                found[int(place)] = (own.tolist(), round(float(score), 6))
+        ids.append(found)
+    assert ids[0] == ids[1]
+
+
+def test_query_columns(spark, tmp_path):
+    texts = ["", None, "Hello  world", "naïve é ß 日本", "x" * 700, "the cat sat " * 30, "tab\tand\nline"]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts)] + [(None, "again"), ("d2", "Hello  world")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sp.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) + 1
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    for key, t in rows:
+        ids = model.encode(t or "")
+        r = got[key]
+        assert (r.n_ids, r.ids_crc32) == (len(ids), crc(ids))
+        assert r.text_crc32 == r.decoded_crc32 == r.path_decoded_crc32 == zlib.crc32((t or "").encode())

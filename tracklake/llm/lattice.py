@@ -17,7 +17,12 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 SPREAD = np.uint64(0xFF51AFD7ED558CCD)
 #: Code points that one batch holds, about.
-BATCH = 150_000
+BATCH = 60_000
+#: So few words of one length are gone through one by one, their pieces looked up at all places at once: a step of the
+#: batch costs the same for one word as for many.
+FEW = 6
+#: Places of a word whose pieces are looked up at once.
+PLACES = 1 << 16
 UNIGRAM, BPE = 1, 2
 FIRST_BITS = 20
 
@@ -94,6 +99,8 @@ class Pieces:
         self.first[bits[::-1]] = np.arange(len(bits), dtype=np.int32)[::-1]
         self.deepest = int(np.bincount(bits).max())
         self.padded = np.append(self.keys, np.zeros(self.deepest, np.uint64))
+        #: The scores by the pieces' texts.
+        self.gains = {self.text[i]: float(self.score[i]) for i in plain}
         #: Whether no piece goes on past a space, so that words can be split apart.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in (self.text[i] for i in plain))
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if i in set(self.byte.tolist()) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
@@ -138,10 +145,12 @@ class Batch:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(self.n, self.length)
         #: By position, then word: what a step reads lies together.
         self.codes = np.ascontiguousarray(codes.T)
+        one = np.ones(1, np.uint64)
+        self.power = np.cumprod(np.concatenate([one, np.full(self.length, BASE, np.uint64)]))
+        down = np.cumprod(np.full(self.length, np.uint64(pow(int(BASE), -1, 2**64)), np.uint64))
         self.prefix = np.zeros((self.length + 1, self.n), np.uint64)
-        for k in range(self.length):
-            self.prefix[k + 1] = self.prefix[k] * BASE + (self.codes[k] + np.uint64(1))
-        self.power = np.array([pow(int(BASE), k, 2**64) for k in range(self.length + 1)], np.uint64)
+        np.cumsum((self.codes + np.uint64(1)) * down[:, None], axis=0, out=self.prefix[1:])
+        self.prefix *= self.power[:, None]
 
     def key(self, rows: np.ndarray | slice, start: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         size = end - start
@@ -156,6 +165,24 @@ class Batch:
         for size in range(1, min(end, self.vocabulary.longest) + 1):
             yield end - size, *self.vocabulary.hits(self.key(slice(None), end - size, end))
 
+    def edges(self, row: int, lo: int, hi: int, by_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of all substrings of one word that are pieces and end (or start) at the places from ``lo`` up
+        to ``hi``, by that place, the shortest first; a character that is no piece has piece -1."""
+        found = []
+        for size in range(1, min(self.length, self.vocabulary.longest) + 1):
+            ends = np.arange(max(lo, size) if by_end else lo + size, min(hi, self.length + 1 if by_end else self.length - size + 1) + (0 if by_end else size))
+            if not len(ends):
+                continue
+            hit, ids = self.vocabulary.hits(self.key(row, ends - size, ends))
+            if size == 1:
+                every = np.full(len(ends), -1, np.int64)
+                every[hit] = ids
+                hit, ids = np.arange(len(ends)), every
+            found.append((ends[hit] - size, ends[hit], ids))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+        order = np.argsort(end if by_end else start, kind="stable")
+        return start[order], end[order], piece[order]
+
     def utf8(self, column: int, rows: np.ndarray) -> list[bytes]:
         return [chr(int(c)).encode("utf-8", "surrogatepass") for c in self.codes[column, rows]]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.llm.common import as_bytes, slices, table
-from tracklake.llm.lattice import BPE, SPACE, UNIGRAM, Batch, Pieces, by_length, pieces
+from tracklake.llm.lattice import BPE, FEW, PLACES, SPACE, UNIGRAM, Batch, Pieces, by_length, pieces
 
 #: Below the lowest score by so much lies a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
@@ -64,11 +64,43 @@ def respelled(batch: Batch, rows: np.ndarray, starts: np.ndarray, found: np.ndar
     return out, counts
 
 
+def best_path(batch: Batch, row: int, lowest: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The best path of one word: the starts of its pieces, the pieces, and its score."""
+    best, back, piece = [0.0], [0], [-1]
+    for lo in range(1, batch.length + 1, PLACES):
+        starts, ends, found = batch.edges(row, lo, min(lo + PLACES, batch.length + 1), by_end=True)
+        cost = np.where(found >= 0, batch.vocabulary.score[found], lowest).tolist()
+        edges = np.searchsorted(ends, np.arange(lo, min(lo + PLACES, batch.length + 1) + 1)).tolist()
+        starts, found = starts.tolist(), found.tolist()
+        for a, z in zip(edges, edges[1:], strict=False):
+            top = -np.inf
+            for k in range(a, z):
+                x = best[starts[k]] + cost[k]
+                if x > top:
+                    top, at = x, k
+            best.append(top)
+            back.append(starts[at])
+            piece.append(found[at])
+    chosen, at = [], batch.length
+    while at:
+        chosen.append((back[at], piece[at]))
+        at = back[at]
+    starts, found = (np.array(x, np.int64) for x in zip(*reversed(chosen), strict=True))
+    return starts, found, best[-1]
+
+
 def viterbi(words: list[str], vocabulary: Pieces) -> Iterator[Found]:
     """The best path of each word by the sum of its pieces' scores."""
     lowest = vocabulary.score[vocabulary.normal].min() - UNKNOWN_PENALTY
     for places, own in by_length(words):
         batch = Batch(own, vocabulary)
+        if batch.n <= FEW:
+            for row, place in enumerate(places):
+                starts, found, score = best_path(batch, row, lowest)
+                own_rows = np.full(len(starts), row)
+                ids, _ = respelled(batch, own_rows, starts, found)
+                yield np.array([place]), ids, np.array([len(ids)]), np.array([score])
+            continue
         best = np.full((batch.length + 1, batch.n), -np.inf)
         best[0] = 0.0
         back = np.zeros((batch.length + 1, batch.n), np.int32)
@@ -102,21 +134,12 @@ def viterbi(words: list[str], vocabulary: Pieces) -> Iterator[Found]:
 
 def merged_long(batch: Batch) -> np.ndarray:
     """Where one long word is cut after its merges, by a heap of neighbours."""
-    v, n = batch.vocabulary, batch.length
+    n, gains = batch.length, batch.vocabulary.gains
+    text = batch.codes[:, 0].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     end = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     alive = [True] * n
-
-    def join(starts: list[int]) -> list[tuple[float, int, int]]:
-        starts = [s for s in starts if s >= 0 and end[s] < n]
-        if not starts:
-            return []
-        a = np.array(starts)
-        e = np.array([end[end[s]] for s in starts])
-        found = v.find(batch.key(0, a, e))
-        return [(-v.score[p], s, x) for p, s, x in zip(found.tolist(), starts, e.tolist(), strict=True) if p >= 0]
-
-    heap = join(list(range(n)))
+    heap = [(-gains[text[s : s + 2]], s, s + 2) for s in range(n - 1) if text[s : s + 2] in gains]
     heapq.heapify(heap)
     while heap:
         _, s, e = heapq.heappop(heap)
@@ -126,8 +149,11 @@ def merged_long(batch: Batch) -> np.ndarray:
         end[s] = e
         if e < n:
             before[e] = s
-        for x in join([s, before[s]]):
-            heapq.heappush(heap, x)
+        for x in (s, before[s]):
+            if x >= 0 and end[x] < n:
+                gain = gains.get(text[x : end[end[x]]])
+                if gain is not None:
+                    heapq.heappush(heap, (-gain, x, end[end[x]]))
     return np.flatnonzero(alive)
 
 
@@ -291,8 +317,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by the model's own rule and by the best path of its scores, and what both decode to."""
     where = public_tokenizers.path("piece_bpe_32k.model")
     source = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("body"))
-    schema = "doc_id long, n_ids long, ids_crc32 long, n_path long, path_crc32 long, path_score double, text_crc32 long, decoded_crc32 long, path_decoded_crc32 long"
-    names = [x.split()[0] for x in schema.split(", ")]
+    made = "n_ids long, ids_crc32 long, n_path long, path_crc32 long, path_score double, text_crc32 long, decoded_crc32 long, path_decoded_crc32 long"
+    schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(made).fields])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(where)
@@ -305,6 +332,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (ids, _), (best, scores) = coder.encode(texts)
                 back = [[zlib.crc32(decode(x, vocabulary).encode()) for x in made] for made in (ids, best)]
                 columns = [[len(x) for x in ids], [crc(x) for x in ids], [len(x) for x in best], [crc(x) for x in best], scores, [zlib.crc32(t) for t in data], *back]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.float64() if n == "path_score" else pa.int64()) for c, n in zip(columns, names[1:], strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.float64() if n == "path_score" else pa.int64()) for c, n in zip(columns, names[1:], strict=True))], names=names)
 
     return source.mapInArrow(run, schema)
