@@ -1,49 +1,67 @@
 """Operator 10: line dedup over content-defined chunks of lines, in DataFrame and SQL functions only.
 
-A rolling hash over the hashes of neighbouring lines says where a chunk ends, so the cuts inside a passage do not
-depend on what stands before it. Chunks of two or more lines that occur again anywhere are removed but for their
-first occurrence. Grouping by the chunks' bytes makes the comparison; hashes only carry its outcome.
+A rolling hash over the hashes of neighbouring lines says where a chunk ends: where it is least among its neighbours. So
+the cuts inside a passage do not depend on what stands before it, and no chunk of short lines is a lone line. A line of so
+many words that it is a passage is a chunk by itself. Chunks that occur again anywhere are removed but for their first
+occurrence. Grouping by the chunks' bytes makes the comparison; hashes only carry its outcome.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.llm.common import cut, table
 
-#: One line in so many ends a chunk.
-DIVISOR = 3
 #: Weight of the line before in the rolling hash over two lines.
 WEIGHT = 7
-LEAST_LINES = 2
+#: A line of more words is a passage, and a chunk by itself.
+PASSAGE_WORDS = 50
+#: A document of which so many hundredths of the words are repeats is a copy: the stage drops what is left of it.
+COPY_PERCENT = 75
 
 
 def line_value(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def with_spans(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """The rows of ``df``, which has ``lines``, with spans: chunks as (first line from 1, number of lines), in order.
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("bigint")
+
+
+def is_passage(line: Column) -> Column:
+    """Whether a line has more than PASSAGE_WORDS words; shorter ones than those need are not searched."""
+    return F.when(F.length(line) > 2 * PASSAGE_WORDS, n_words(line) > PASSAGE_WORDS).otherwise(False)
+
+
+def with_spans(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, which has ``lines``, with spans: chunks as (first line from 1, number of lines, whether it is a
+    passage), in order.
 
     Each step is a projection of its own, so that no line is hashed more than once.
     """
-    rolled = lambda i: F.get("values", i) + F.lit(WEIGHT) * F.coalesce(F.get("values", i - 1), F.lit(0))
+    df = df.withColumn("told", F.transform("lines", lambda x: F.struct(line_value(x).alias("v"), is_passage(x).alias("long"))))
+    df = df.withColumn("rolled", F.transform("told", lambda t, i: t.v + F.lit(WEIGHT) * F.coalesce(F.get("told", i - 1).v, F.lit(0))))
     last = F.size("lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
-    df = df.withColumn("values", F.transform("lines", line_value)).withColumn("ends", F.when(F.size("lines") > 0, ends).otherwise(F.array()))
+    long = lambda i: F.get("told", i).long
+    r = lambda i: F.get("rolled", i)
+    # Two lines before the cut and two after it, all short: a null says that there is no such line.
+    inside = lambda i: ~long(i - 1) & ~long(i + 1) & ~long(i + 2) & (r(i) < r(i - 1)) & (r(i) <= r(i + 1))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | long(i) | F.coalesce(long(i + 1), F.lit(False)) | F.coalesce(inside(i), F.lit(False)))
+    df = df.withColumn("ends", F.when(F.size("lines") > 0, ends).otherwise(F.array()))
     before = F.slice(F.concat(F.array(F.lit(-1)), F.col("ends")), F.lit(1), F.size("ends"))
-    return df.withColumn("spans", F.zip_with("ends", before, lambda e, b: F.struct((b + 2).alias("at"), (e - b).alias("n")))).drop("values", "ends")
+    return df.withColumn("spans", F.zip_with("ends", before, lambda e, b: F.struct((b + 2).alias("at"), (e - b).alias("n"), long(e).alias("long")))).drop("told", "rolled", "ends")
 
 
-def chunked(df: DataFrame, doc_id: str, text: str, divisor: int) -> DataFrame:
+def chunked(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows with id, key (of the row's text), lines and spans; a null text counts as empty."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return with_spans(df.select(F.col(f"`{doc_id}`").alias("id"), F.md5(body).alias("key"), F.split(body, "\n").alias("lines")), divisor)
+    return with_spans(df.select(F.col(f"`{doc_id}`").alias("id"), F.md5(body).alias("key"), F.split(body, "\n").alias("lines")))
 
 
 def occurrences(rows: DataFrame, as_hash: bool = False) -> DataFrame:
-    """A row for each multi-line chunk that is not blank: id, key, place in the document, the chunk or its hash.
+    """A row for each chunk of several lines, or passage, that is not blank: id, key, place in the document, the chunk or its hash.
 
     The chunks are made before they are dealt out, so that no row carries all lines of its document; and dealt out by the
     outer form, for which Spark adds no filter on the document that would compute the chunks again.
@@ -51,13 +69,13 @@ def occurrences(rows: DataFrame, as_hash: bool = False) -> DataFrame:
 
     def told(span: Column) -> Column:
         chunk = F.array_join(F.slice("lines", span.at, span.n), "\n")
-        return F.struct((F.md5(chunk) if as_hash else chunk).alias("chunk"), ((span.n >= LEAST_LINES) & (F.length(chunk) >= span.n)).alias("counts"))
+        return F.struct((F.md5(chunk) if as_hash else chunk).alias("chunk"), (((span.n > 1) | span.long) & (F.length(chunk) >= span.n)).alias("counts"))
 
     spans = rows.select("id", "key", F.posexplode_outer(F.transform("spans", told)).alias("place", "told"))
     return spans.filter("told.counts").select("id", "key", "place", F.col("told.chunk").alias("chunk"))
 
 
-def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
+def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its text less the chunks that occurred before, and n_lines and n_removed (lines).
 
     The first occurrence is that with the least (doc_id, place); a null doc_id comes first. Rows with one doc_id
@@ -65,10 +83,13 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     empty; a text of which nothing is left becomes empty too. An empty table gives an empty result. A column named
     as a computed one gives way to it. Two different chunks of one hash, should they occur, both stay.
     """
-    rows = chunked(df, doc_id, text, divisor)
+    rows = chunked(df, doc_id, text)
     found = occurrences(rows)
     hashed = occurrences(rows, as_hash=True)
-    order = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
+    if isinstance(df.schema[doc_id].dataType, T.IntegralType):  # as one number, which aggregates by hash
+        order = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
+    else:
+        order = F.struct("id", "place")
     groups = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     repeated = groups.groupBy(F.md5("chunk").alias("hash")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("times").alias("times"), F.min("first").alias("first")).filter((F.col("chunks") == 1) & (F.col("times") > 1))
     repeated = cut(repeated)  # so that the rows of a chunk that very many documents have can be split in the join
@@ -78,7 +99,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     body = F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit(""))
     out = df.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.id")) & (F.md5(body) == F.col("g.key")), "left")
     out = out.select(*[F.col(f"d.`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col("g.gone").alias("gone"), F.split(body, "\n").alias("all"))
-    out = with_spans(out.withColumn("lines", F.when(F.col("gone").isNotNull(), F.col("all")).otherwise(F.array())), divisor)
+    out = with_spans(out.withColumn("lines", F.when(F.col("gone").isNotNull(), F.col("all")).otherwise(F.array())))
     stays = F.filter(F.transform("spans", lambda s, i: F.struct(s.at.alias("at"), s.n.alias("n"), i.alias("i"))), lambda s: ~F.array_contains("gone", s.i))
     left = F.flatten(F.transform(stays, lambda s: F.slice("lines", s.at, s.n)))
     out = out.withColumn("left", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("all")))
@@ -92,19 +113,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, u.i AS i, u.line AS line, ('0x' || md5(u.line)[1:8])::BIGINT AS v
+  SELECT doc_id, u.i AS i, u.line AS line, ('0x' || md5(u.line)[1:8])::BIGINT AS v, len(regexp_extract_all(u.line, '[^\\x20\\x09-\\x0D]+')) > {PASSAGE_WORDS} AS long
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
        LATERAL (SELECT unnest(l) AS line, unnest(range(len(l))) AS i) u),
+rolled AS (
+  SELECT *, v + {WEIGHT} * coalesce(lag(v) OVER w, 0) AS r, lag(long) OVER w AS long_before, lead(long) OVER w AS long_after, lead(long, 2) OVER w AS long_second
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 marked AS (
-  SELECT doc_id, i, line, (v + {WEIGHT} * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {DIVISOR} = 0 AS ends FROM lines),
+  SELECT *, coalesce(long OR coalesce(long_after, false) OR (NOT long_before AND NOT long_after AND NOT long_second AND r < lag(r) OVER w AND r <= lead(r) OVER w), false) AS ends
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (
-  SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM marked),
+  SELECT doc_id, i, line, long, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM marked),
 chunks AS (
-  SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, place),
+  SELECT doc_id, place, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, place),
 ranked AS (
-  SELECT *, n >= {LEAST_LINES} AND length(replace(chunk, chr(10), '')) > 0 AS multi FROM chunks),
+  SELECT *, (n > 1 OR long) AND length(replace(chunk, chr(10), '')) > 0 AS counts FROM chunks),
 judged AS (
-  SELECT doc_id, place, n, chunk, multi AND row_number() OVER (PARTITION BY multi, chunk ORDER BY doc_id, place) > 1 AS gone FROM ranked),
+  SELECT doc_id, place, n, chunk, counts AND row_number() OVER (PARTITION BY counts, chunk ORDER BY doc_id, place) > 1 AS gone FROM ranked),
 left_over AS (
   SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
          coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
@@ -114,6 +139,19 @@ SELECT doc_id, n_lines, n_removed, length(text)::BIGINT AS n_chars, sha256(text)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks that an earlier one has; n_chars follows the new text."""
-    out = remove_repeated_chunks(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """The documents without the chunks that an earlier one has; n_chars follows the new text.
+
+    A document of which COPY_PERCENT hundredths of the words or more are such chunks is a copy and goes whole, as what is left
+    of it would pass for a text of its own. One without words stays as it is: nothing of it was removed. Null texts
+    become empty; rows of one doc_id count as one document where they repeat each other; an empty table gives an empty
+    result; all other columns, whatever their names, pass through.
+    """
+    before = "words_before_line_dedup"
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, named, strict=True))
+    body = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], n_words(body).alias(before))
+    out = remove_repeated_chunks(inner, own["doc_id"], own["text"])
+    left = n_words(F.col(own["text"]))
+    out = out.filter((F.col(before) == 0) | (100 * (F.col(before) - left) < COPY_PERCENT * F.col(before)))
+    return out.select(*[(F.length(own["text"]).cast("bigint") if c == "n_chars" else F.col(n)).alias(c) for c, n in own.items()])
