@@ -2,9 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
+from tracklake.llm import ngram_join
+from tracklake.llm.common import Tokens
 from tracklake.llm.ngram_join import near_duplicates_stage, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,3 +86,28 @@ def test_odd_rows_and_stage(spark):
     assert ngram_components(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, text), (None, text), (4, text), (None, "q")], "doc_id bigint, text string")
     assert sorted(map(tuple, ngram_components(nulls).collect()), key=repr) == sorted([(None, 3, 4), (None, 3, 4), (4, 3, 4), (None, 1, None)], key=repr)
+
+
+@pytest.mark.parametrize("bits", [8, 11, 17])
+def test_whole_hashes_come_back(spark, bits):
+    texts = [" ".join(f"w{random.Random(i // 2).randint(0, 10**6) + j}" for j in range(40)) for i in range(12)] + ["one two", "one two three"]
+    df = spark.createDataFrame([(i, t + (" end" if i % 2 else "")) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = ngram_join.shared_shingles(ngram_join.packed_shingles(df, "text", bits, 4), bits, 4).collect()
+    got = {(int(c), int(h)) for r in found if not r.totals for c, h in zip(np.repeat(np.frombuffer(r.classes, "<u8"), np.frombuffer(r.counts, "<u4")), np.frombuffer(r.hashes, "<u8"), strict=True)}
+    tokens = Tokens([(t + (" end" if i % 2 else "")).encode() for i, t in enumerate(texts)])
+    h, at = ngram_join.shingle_sets(tokens, np.arange(len(texts)))
+    keys = tokens.sequence_keys().view(np.uint64)
+    times = Counter(h.tolist())
+    want = {(int(keys[d]), x) for x, d in zip(h.tolist(), at.tolist(), strict=True) if times[x] > 1}
+    assert got == want and len(want) > 100
+    sizes = {int(c): int(n) for r in found if r.totals for c, n in zip(np.frombuffer(r.classes, "<u8"), np.frombuffer(r.totals, "<u4"), strict=True)}
+    assert sizes == {int(k): int((at == d).sum()) for d, k in enumerate(keys)}
+
+
+def test_stage_knows_rows_by_their_text(spark):
+    text, other = "a b c d e f g h i j k l", "quite other words than those that stand there now"
+    rows = [(1, text, 1), (2, text, 2), (2, other, 3), (None, text, 4), (3, None, 5), (4, "", 6), (1, text, 7), (5, text + " m", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, text_key int")
+    got = ngram_join.near_duplicates_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r.text_key for r in got.collect()) == [1, 3, 4, 5, 6, 7]

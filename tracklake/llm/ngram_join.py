@@ -34,7 +34,9 @@ GROUP = 4_000_000
 BUFFER = 1_000_000
 #: Rounds in which sets are held against one likely relative, each by another order of the sets.
 ROUNDS = 3
-U8, U4, U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
+#: Bits of a shingle's hash that a mapper sends; a hash range tells the others, so it has at least those.
+SENT, LEAST_BITS = 56, 8
+U8, U4, U2, U1 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2"), np.dtype("u1")
 
 
 def shingle_sets(tokens: Tokens, docs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -58,32 +60,38 @@ def shingle_sets(tokens: Tokens, docs: np.ndarray, words: int = WORDS) -> tuple[
 
 
 def memberships(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Every row's doc_id, class and count of words; no class for texts without words."""
+    """Every row's doc_id, hash of the text, class and count of words; no class for texts without words."""
 
     def label(texts: list[bytes]) -> list:
         tokens = Tokens(texts)
         return [tokens.classes(), tokens.counts]
 
-    out = map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"], [field("class", T.LongType()), field("words", T.LongType())], label)
-    return out
+    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_key(text).alias("text_key"))
+    return map_texts(source, "text", ["doc_id", "text_key"], [field("class", T.LongType()), field("words", T.LongType())], label)
+
+
+def text_key(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def packed_shingles(df: DataFrame, text: str, bits: int, groups: int) -> DataFrame:
-    """Shingles by hash range (bucket): classes, shingles of each, and the hashes' lower and middle bits.
+    """Shingles by hash range (bucket): classes, shingles of each, and the hashes' lower SENT bits in three parts.
 
     Buckets from 2**bits up hold classes and their numbers of shingles instead, by class.
     """
     source = df.select(F.col(f"`{text}`").cast("string").alias("body"))
-    schema = "bucket int, classes binary, counts binary, low binary, middle binary"
-    names = ["bucket", "classes", "counts", "low", "middle"]
+    schema = "bucket int, classes binary, counts binary, low binary, middle binary, high binary"
+    names = ["bucket", "classes", "counts", "low", "middle", "high"]
+    if bits < LEAST_BITS:
+        raise ValueError(f"a range's number must tell {LEAST_BITS} bits of the hashes in it")
 
     def pack(keys: np.ndarray, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple] = []
         own = np.bincount(at, minlength=len(keys))
         place = (keys % np.uint64(groups)).astype(np.int64)
         for g in np.unique(place):
-            rows.append(((1 << bits) + int(g), keys[place == g].tobytes(), own[place == g].astype(U4).tobytes(), b"", b""))
-        bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(h), np.uint16)
+            rows.append(((1 << bits) + int(g), keys[place == g].tobytes(), own[place == g].astype(U4).tobytes(), b"", b"", b""))
+        bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
         order = np.argsort(bucket, kind="stable")
         h, at, bucket = h[order], at[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket)) + 1
@@ -92,8 +100,8 @@ def packed_shingles(df: DataFrame, text: str, bits: int, groups: int) -> DataFra
                 first = np.flatnonzero(np.diff(at[lo:hi], prepend=-1))
                 counts = np.diff(first, append=hi - lo)
                 part = h[lo:hi]
-                rows.append((int(bucket[lo]), keys[at[lo:hi][first]].tobytes(), counts.astype(U4).tobytes(), part.astype(U4).tobytes(), (part >> np.uint64(32)).astype(U2).tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 4]
+                rows.append((int(bucket[lo]), keys[at[lo:hi][first]].tobytes(), counts.astype(U4).tobytes(), part.astype(U4).tobytes(), (part >> np.uint64(32)).astype(U2).tobytes(), (part >> np.uint64(48)).astype(U1).tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,10 @@ def shared_shingles(packed: DataFrame, bits: int, groups: int) -> DataFrame:
         if bucket >= 1 << bits:
             out = [(bucket - (1 << bits), classes[first].tobytes(), counts[first].astype(U4).tobytes(), b"", b"", b"")]
             return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        h = blobs(rows["low"], U4).astype(np.uint64) | (blobs(rows["middle"], U2).astype(np.uint64) << np.uint64(32)) | np.uint64(bucket << 48)
+        h = blobs(rows["low"], U4).astype(np.uint64)
+        for part, kind, shift in (("middle", U2, 32), ("high", U1, 48)):
+            h |= blobs(rows[part], kind).astype(np.uint64) << np.uint64(shift)
+        h |= np.uint64(bucket >> (bits - LEAST_BITS) << SENT)
         once = np.zeros(len(classes), bool)
         once[first] = True
         keep = np.repeat(once, counts)
@@ -301,10 +312,16 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component. Repeated rows link with each other; rows with a null doc_id get the least doc_id of their component, null if
     there is none. Whole texts are read; an empty table gives an empty result; other columns are not read.
     """
+    return keyed_components(df, doc_id, text, percent).drop("text_key")
+
+
+def keyed_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The same, with the hash of each row's text, text_key."""
     members = cut(memberships(df, doc_id, text))
     words = members.agg(F.sum("words")).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, words) / GROUP)))
-    indexed = cut(indexed_sets(shared_shingles(packed_shingles(df, text, bits, 1 << bits), bits, 1 << bits), percent))
+    ranges, groups = max(LEAST_BITS, bits), 1 << bits
+    indexed = cut(indexed_sets(shared_shingles(packed_shingles(df, text, ranges, groups), ranges, groups), percent))
     release(df.sparkSession)
     links = cut(similar_classes(indexed, percent))
     release(df.sparkSession)
@@ -317,8 +334,8 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     release(df.sparkSession)
     told = cut(classes.join(least, "root").select("class", F.col("n").alias("n_shingles"), "component_id"))
     release(df.sparkSession)
-    out = members.filter("class IS NOT NULL").join(told, "class").select("doc_id", "n_shingles", "component_id")
-    return out.union(members.filter("class IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = members.filter("class IS NOT NULL").join(told, "class").select("doc_id", "n_shingles", "component_id", "text_key")
+    return out.union(members.filter("class IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +361,16 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id; documents without a doc_id stay."""
-    found = ngram_components(docs)
-    gone = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component the document with the least doc_id; documents without a doc_id stay.
+
+    A row is known by its doc_id and its text: of rows with one doc_id and unlike texts only those go that a lesser doc_id is
+    linked with; repeated rows of the least doc_id all stay. Null, empty and blank texts are linked with nothing and stay.
+    An empty table gives an empty result, and all columns, whatever their names, pass through.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    found = keyed_components(named, own["doc_id"], own["text"])
+    gone = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    named = named.withColumn("key", text_key(own["text"]))
+    left = named.join(gone, (F.col(own["doc_id"]) == F.col("gone_id")) & (F.col("key") == F.col("text_key")), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in own.items()])
