@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from tracklake.llm.html_text import extract_text, main_text
@@ -78,3 +81,45 @@ SECTIONS = "<section>" + f"<p>{LONG}</p>" * 20 + "</section><section>" + f"<p>{L
 )
 def test_all_of_the_article(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("marked", ["class='content has-sidebar'", "class='post-search'", "class='form-content'", "class='story social-science'", "class='related-work'", "class='block hidden md:block'", "title='the hidden life'", "data-x=hidden"])
+def test_what_only_looks_like_a_mark(marked):
+    assert main_text(f"<div {marked}><p>{BODY}</p></div>") == BODY.strip()
+    assert main_text(f"<article><div {marked}><p>{BODY}</p></div></article>") == BODY.strip()
+
+
+def test_parts_of_an_article_stay():
+    assert main_text(f"<article><p>{BODY}</p><p class='share-price'>{BODY}</p></article>") == f"{BODY.strip()} {BODY.strip()}"
+    assert main_text(f"<article><p>{BODY}</p><p>The end.</p></article>") == f"{BODY.strip()} The end."
+    for gone in ("<p hidden>x</p>", "<p aria-hidden=true>x</p>", "<p style='color:red; display : none'>x</p>", "<p class=ad>x</p>", "<p HIDDEN=''>x</p>"):
+        assert main_text(f"<article><p>{BODY}</p>{gone}</article>") == BODY.strip()
+    assert main_text("<div>" * 30 + f"<p>{BODY}</p>" + "</div>" * 30) == BODY.strip()
+
+
+@pytest.mark.parametrize("page", ["<p>" + "a<" * 500_000, '<a "' * 250_000, "<p title='" * 100_000 + ">", "<!--" * 250_000, "<script>" * 100_000, "</script " * 100_000, "<script></script " * 60_000, "<a '>" * 200_001, "<div>" * 100_000, "<b>" * 200_000 + "x" + "</i>" * 200_000, "<li>" * 200_000, "&" * 1_000_000, "<p>x" * 200_000], ids=str.__len__)
+def test_odd_pages_of_a_megabyte_end_soon(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 15
+
+
+def test_generated_pages_give_their_text():
+    """Pages made from known articles: a plain walk over what was put in tells the text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(n)) + "."
+    frames = ["<nav><a href=x>menu</a> <a href=y>more</a></nav>", "<div class='sidebar'><p>side words</p></div>", "<aside>noted</aside>", "<div class=ad>buy it</div>", "<footer>(c) x</footer>", "<form><input name=q><label>find</label></form>", "<div id=comments><p>said a reader</p></div>", "<script>var a = '<p>no</p>';</script>", "<!-- <p>none</p> -->", "<div class='cookie-notice'>we use cookies</div>"]
+    for _ in range(300):
+        own, inner = [], []
+        for _ in range(rng.randint(2, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul", "blockquote", "table", "section"])
+            parts = [sentence(rng.randint(3, 60) if kind != "h2" else 3) for _ in range(1 if kind in ("p", "h2", "blockquote") else rng.randint(1, 4))]
+            own += parts
+            inner.append({"ul": lambda x: "<ul>" + "".join(f"<li>{t}" for t in x) + "</ul>", "table": lambda x: "<table><tr>" + "".join(f"<td>{t}" for t in x) + "</table>", "section": lambda x: "<section>" + "".join(f"<p>{t}</p>" for t in x) + "</section>"}.get(kind, lambda x, k=kind: f"<{k}>{x[0]}</{k}>")(parts))
+            if rng.random() < 0.3:
+                inner.append(rng.choice(frames))
+        title = sentence(4)
+        holder = rng.choice(["article", "main"])
+        page = f"<html><body>{rng.choice(frames)}<{holder} class='post {rng.choice(['', 'with-sidebar', 'no-nav'])}'><h1>{title}</h1>{''.join(inner)}</{holder}>{rng.choice(frames)}</body></html>"
+        assert main_text(page) == " ".join([title, *own]), page

@@ -8,6 +8,8 @@ that are mostly links.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ PARAGRAPHS_END_AT = BLOCK - frozenset(("td", "th", "tr", "tbody", "thead", "tfoo
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LISTS = frozenset(("ul", "ol", "dl", "table"))
+#: Elements that are a paragraph of what holds them.
+PARAGRAPHS = frozenset("p pre li h1 h2 h3 h4 h5 h6 dd dt".split())
 #: Elements that are no part of an article.
 DROPPED = RAW | frozenset("head nav header footer aside form button select input label fieldset dialog menu svg canvas object audio video math".split())
 #: Words in a class, id or role that mark such parts.
@@ -36,9 +40,14 @@ WRAPPER_SHARE, WRAPPER_CHARS = 0.8, 250
 #: Elements whose marks don't drop them: their parts are judged alone.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
-MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: In these, a mark that is only part of a name, as in share-price, says nothing.
+SMALL = frozenset("p pre li dd dt td th blockquote figure h1 h2 h3 h4 h5 h6".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_END = re.compile(r"--!?>")
+TAG_STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 
 FULL, LONG_CHARS, MOST_LENGTH_POINTS = 1.0, 100, 3.0
@@ -51,22 +60,88 @@ SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class Node:
-    __slots__ = ("chars", "children", "link_chars", "marks", "points", "sure", "tag", "up")
+    __slots__ = ("chars", "children", "link_chars", "marks", "passed", "points", "sure", "tag", "up")
 
     def __init__(self, tag: str, up: Node | None, marks: frozenset[str] = frozenset(), sure: bool = False) -> None:
         self.tag, self.up, self.marks, self.sure = tag, up, marks, sure
         self.children: list[Node | tuple[str, int]] = []  # nodes, and blocks of text with the characters in links
-        self.points = 0.0
+        self.points = self.passed = 0.0
         self.chars = self.link_chars = 0
 
 
-def marks_of(attributes: str) -> tuple[frozenset[str], bool]:
+class Tags:
+    """The tags of a page, read forward only: each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.resume = 0
+        self.loose = False  # a quote swallowed the rest of the page: from there on a tag ends at the next >
+
+    def end_of(self, at: int) -> int:
+        """Where the > of a tag is, -1 if there is none; one inside quotes is none, unless a quote is never closed."""
+        page = self.page
+        first = page.find(">", at)
+        if self.loose or first < 0:
+            return first
+        while m := TAG_STOP.search(page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            at = page.find(m[0], at) + 1
+            if not at:
+                break
+        self.loose = True
+        return first
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, whether it closes, name, attributes) of each tag; comments and the like have no name."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            closes = page.startswith("/", start + 1)
+            name = NAME.match(page, start + 1 + closes)
+            if name:
+                stop = self.end_of(name.end())
+                at = len(page) if stop < 0 else stop + 1
+                # A tag that is cut off by the end of the page is no tag.
+                yield start, at, closes, name[0].lower() if stop >= 0 else "", page[name.end() : stop] if stop >= 0 else ""
+            elif page.startswith("<!--", start):
+                # <!--> and <!---> are whole comments
+                stop = COMMENT_END.search(page, start + 2) if page.startswith(("<!-->", "<!--->"), start) else COMMENT_END.search(page, start + 4)
+                at = stop.end() if stop else len(page)
+                yield start, at, False, "", ""
+            elif page.startswith(("!", "?", "/"), start + 1):
+                at = page.find(">", start) + 1 or len(page)
+                yield start, at, False, "", ""
+            else:
+                at = start + 1
+                continue
+            at = max(at, self.resume)
+
+    def past_raw(self, name: str, at: int) -> int:
+        """Where the raw text of an element ends; the tags go on from there."""
+        closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+        self.resume = (self.page.find(">", closing.end()) + 1 or len(self.page)) if closing else len(self.page)
+        return self.resume
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    return out
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(INVISIBLE.search(attributes.get("style", "")))
+
+
+def marks_of(attributes: dict[str, str], small: bool = False) -> tuple[frozenset[str], bool]:
     """The marks in class, id and role, and whether one is a whole name there, not a part of a compound such as nav-fixed."""
     found, sure = set(), False
-    for m in MARKED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
             words = WORD.findall(name)
-            if not STATES.intersection(words):
+            if not STATES.intersection(words) and not (small and len(words) > 1):
                 own = MARKS.intersection(words)
                 found |= own
                 sure |= bool(own) and len(words) == 1
@@ -80,7 +155,8 @@ def parse(page: str, marks: bool = True) -> Node:
     """
     root = Node("#", None)
     stack = [root]  # elements that hold blocks: the block-level ones
-    inline: list[str] = []  # open elements within the line, of which only links count
+    open_: Counter[str] = Counter()  # how many of each name are in it
+    links = 0  # open links; what else is open within the line doesn't count
     text: list[str] = []
     linked = 0
     skip, depth = "", 0  # inside a dropped element: its name and how deep in elements of that name
@@ -100,62 +176,61 @@ def parse(page: str, marks: bool = True) -> Node:
         if part:
             part = unescape(part) if "&" in part else part
             text.append(part)
-            if "a" in inline:
+            if links:
                 linked += len(" ".join(part.split()))
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                flush()
-                inline.clear()
-                del stack[k:]
-                return
-
-    while True:
-        m = TOKEN.search(page, at)
+        nonlocal links
+        if not open_[tag]:
+            return
+        flush()
+        links = 0
+        while (node := stack.pop()).tag != tag:
+            open_[node.tag] -= 1
+        open_[tag] -= 1
+
+    tags = Tags(page)
+    for start, end, closes, tag, inside in tags:
         if not skip:
-            take(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            take(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if skip:
             if tag == skip:
-                depth += -1 if end else (not attributes.endswith("/"))
+                depth += -1 if closes else (not inside.endswith("/"))
                 if depth == 0:
                     skip = ""
             continue
-        if tag in RAW and not end:
-            gone = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = gone.end() if gone else len(page)
+        if tag in RAW and not closes:
+            at = tags.past_raw(tag, end)
             continue
-        if end:
+        if closes:
             if tag in BLOCK:
                 close(tag)
-            elif tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag)]
+            elif tag == "a":
+                links = max(0, links - 1)
             elif tag == "br":
                 text.append(" ")
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in PARAGRAPHS_END_AT and any(n.tag == "p" for n in stack[1:]):
+        if tag in PARAGRAPHS_END_AT:
             close("p")
         for other in ENDS_ITSELF.get(tag, ()):
-            inner = next((n.tag for n in reversed(stack) if n.tag in LISTS or n.tag == other), "")
-            if inner == other:
-                close(other)
-        framed = tag in DROPPED and (marks or tag != "form") and (tag != "header" or all(n.tag not in ("article", "main") for n in stack))
-        gone = framed or bool(attributes) and tag not in WHOLE and bool(HIDDEN.search(attributes))
-        own, sure = marks_of(attributes) if marks and attributes and tag not in WHOLE and not gone else (frozenset(), False)
+            if open_[other]:
+                inner = next((n.tag for n in reversed(stack) if n.tag in LISTS or n.tag == other), "")
+                if inner == other:
+                    close(other)
+        framed = tag in DROPPED and (marks or tag != "form") and (tag != "header" or not (open_["article"] or open_["main"]))
+        attributes = attributes_of(inside) if inside and tag not in WHOLE else {}
+        gone = framed or hidden(attributes)
+        own, sure = marks_of(attributes, tag in SMALL) if marks and attributes and not gone else (frozenset(), False)
         if gone or (sure and tag not in BLOCK):
             if tag in BLOCK:
                 flush()
-            if tag not in VOID and not attributes.endswith("/"):
+            if tag not in VOID and not inside.endswith("/"):
                 skip, depth = tag, 1
             continue
         if tag in VOID:
@@ -164,13 +239,16 @@ def parse(page: str, marks: bool = True) -> Node:
             continue
         if tag in BLOCK:
             flush()
-            inline.clear()
+            links = 0
             if len(stack) < 2000:
                 node = Node(tag, stack[-1], own, sure)
                 stack[-1].children.append(node)
                 stack.append(node)
-        else:
-            inline.append(tag)
+                open_[tag] += 1
+        elif tag == "a":
+            links += 1
+    if not skip:
+        take(page[at:])
     flush()
     return root
 
@@ -210,29 +288,25 @@ def prune(root: Node) -> None:
 
 
 def score(root: Node) -> list[Node]:
-    """All elements that got points; a paragraph is any block of text."""
+    """All elements with text, with their points; a paragraph is any block of text. What holds it gets its points, and of
+    what an element got its parent gets half."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
         nodes.append(node)
-        node.points = OWN.get(node.tag, 0.0)
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(nodes):  # children before their parents
         for c in node.children:
             if isinstance(c, Node):
                 node.chars += c.chars
                 node.link_chars += c.link_chars
+                node.passed += c.passed if c.tag in PARAGRAPHS else c.passed / 2
                 continue
             block, links = c
             node.chars += len(block)
             node.link_chars += links
-            points = FULL + block.count(",") + block.count("，") + min(len(block) / LONG_CHARS, MOST_LENGTH_POINTS)
-            holder = node.up if node.tag in ("p", "pre", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") and node.up else node
-            level = 0
-            while holder is not None and level < 5:
-                holder.points += points / (1 if level == 0 else 2 * level)
-                holder = holder.up
-                level += 1
+            node.passed += FULL + block.count(",") + block.count("，") + min(len(block) / LONG_CHARS, MOST_LENGTH_POINTS)
+        node.points = OWN.get(node.tag, 0.0) + (0.0 if node.tag in PARAGRAPHS else node.passed)
     return [n for n in nodes if n.chars]
 
 
