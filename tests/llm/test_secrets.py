@@ -24,6 +24,17 @@ def hexes(n, seed=1, size=40):
     return ["".join(rng.choices("0123456789abcdef", k=size)) for _ in range(n)]
 
 
+def prose(n, seed=11):
+    rng = random.Random(seed)
+    parts = "th er ing on re and es st en at ed nd ti ha ou ea nt or ly wh an in he sh ble fa ca de".split()
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4)))
+    return " ".join(word().capitalize() + "." if rng.random() < 0.05 else str(rng.randint(0, 10**6)) if rng.random() < 0.01 else "2019-12-24" if rng.random() < 0.005 else word() for _ in range(n))
+
+
+def model(*values):
+    return secrets.Grammars([secrets.Automaton(v) for v in values], secrets.Ordinary(secrets.follows_in(prose(20_000).encode()).reshape(secrets.SYMBOLS, secrets.SYMBOLS)))
+
+
 def test_base_matches_brute_force():
     rng = random.Random(3)
     parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abcdef", "abc", "AKIA", "Z9", "ABCDEFGHIJKLMNOP", "0f" * 6, "é", "ſecret", "\n"]
@@ -44,7 +55,7 @@ def test_automaton_learns_a_format():
 
 
 def test_added_spans_keep_off_base_spans():
-    grammars = [secrets.Automaton(hexes(300))]
+    grammars = model(hexes(300))
     short = hexes(1, 5, 20)[0][:-2] + "a1"
     text = f"token = {hexes(1, 6)[0]} and {short} here"
     base, every = secrets.all_spans(text, grammars)
@@ -59,7 +70,7 @@ def test_table_and_stage(spark):
     rows = [(i, f"x token = {h} y") for i, h in enumerate(hexes(40))] + [(100, None), (101, ""), (None, "AKIA" + "A" * 16), (0, f"x token = {hexes(1)[0]} y")]
     df = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id bigint, text string, n_chars bigint, spans string")
     grammars = secrets.fit_grammars(df)
-    assert len(grammars) == 2
+    assert len(grammars.automata) == 3
     got = {(r.doc_id, r.spans) for r in secrets.find_secrets(df, grammars, keep=["doc_id", "spans"]).collect()}
     assert (100, "") in got and (101, "") in got and (None, "access:0:20") in got and (0, "assign:2:50,hex:10:50") in got
     out = secrets.secrets_stage(spark, df, "")
@@ -69,7 +80,7 @@ def test_table_and_stage(spark):
 
 
 def test_automata_see_parts_of_candidates():
-    grammars = [secrets.Automaton(hexes(300))]
+    grammars = model(hexes(300))
     added = lambda text: [text[s:e] for s, k, e in secrets.all_spans(text, grammars)[1] if k == 3]
     key, other, short = "0d" + hexes(1, 7, 18)[0], "e5" + hexes(1, 8, 21)[0], "0d4c8a1f"
     long = hexes(1, 9)[0]
@@ -90,7 +101,7 @@ def test_automata_see_parts_of_candidates():
 
 def test_added_spans_do_not_overlap():
     rng = random.Random(5)
-    grammars = [secrets.Automaton(hexes(300))]
+    grammars = model(hexes(300))
     parts = [*hexes(5, 6, 30), *hexes(5, 7, 12), "token=", "AUTH", "=", "/", ".", "-", " ", "word"]
     for _ in range(2000):
         text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
@@ -98,3 +109,35 @@ def test_added_spans_do_not_overlap():
         own = [(s, e) for s, k, e in every if k == 3]
         assert all(e <= s for (_, e), (s, _) in zip(own, own[1:], strict=False))
         assert all(e <= s or t <= b for b, e in own for s, _, t in base)
+
+
+def test_secrets_in_their_usual_places():
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n=32: "".join(rng.choices(letters, k=n))
+    grammars = model([key() for _ in range(300)])
+    for _ in range(50):
+        k = key()
+        for before, after in (("", ""), ("session_id=", ""), ("https://h.io/a/b?sig=", "&x=1"), ('{"auth":"', '"}'), ("It was ", "."), ("(", ")"), ("user:", "@host"), ("path/to/", "/more")):
+            text = f"the words {before}{k}{after} go on"
+            got = [text[s:e] for s, kind, e in secrets.all_spans(text, grammars)[1] if kind == 3]
+            assert got and all(k in g or g in k for g in got) and max(map(len, got)) >= 0.8 * len(k), text
+    short = [key(15) for _ in range(50)]
+    assert sum(bool(secrets.all_spans(f"x {k} y", grammars)[1]) for k in short) >= 45
+    plain = [key(32).translate({ord(c): "q" for c in "0123456789"}) for _ in range(50)]
+    assert sum(bool(secrets.all_spans(f"x {k} y", grammars)[1]) for k in plain) >= 45
+
+
+def test_prose_holds_no_secret():
+    text = prose(50_000, 12)
+    for values in (hexes(300), hexes(1), hexes(5, 3, 12)):
+        assert len(secrets.all_spans(text, model(values))[1]) <= 2
+
+
+def test_one_labelled_value_is_enough_to_fit(spark):
+    rows = [(0, f"{prose(400)} token = {hexes(1)[0]}"), (1, f"{prose(400, 3)} AUTH={hexes(1, 4, 20)[0]}"), (2, prose(300, 5))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    grammars = secrets.fit_grammars(df)
+    assert len(grammars.automata) == 2
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df, grammars).collect()}
+    assert "grammar" in got[1] and "grammar" not in got[0] and not got[2]
