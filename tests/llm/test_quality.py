@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -65,3 +66,41 @@ def test_table_and_stage(spark):
     kept = quality.quality_stage(spark, df, "")
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
     assert quality.quality_rules(df.limit(0)).count() == 0
+
+
+def plain_verdict(data):
+    """The band rule by plain arithmetic: ratios of the whole and of each chunk, the last one too, against interpolated limits."""
+    def limit(n, column):
+        for (a, *low), (b, *high) in zip(quality.BANDS, quality.BANDS[1:], strict=False):
+            if a <= n <= b:
+                share = math.log(n / a) / math.log(b / a)
+                return low[column] + share * (high[column] - low[column])
+        return quality.BANDS[-1][column + 1]
+
+    def out(part):
+        ratio = len(zstandard.compress(part, quality.LEVEL)) / len(part)
+        return not limit(len(part), 0) <= ratio <= limit(len(part), 1)
+
+    if not data:
+        return False
+    parts = [data[i : i + quality.CHUNK] for i in range(0, len(data), quality.CHUNK)]
+    return not out(data) and sum(len(p) for p in parts if out(p)) <= quality.MOST_BAD * len(data)
+
+
+def test_verdict_matches_brute_force():
+    rng = random.Random(6)
+    coder = zstandard.ZstdCompressor(level=quality.LEVEL)
+    kinds = [lambda n: prose(n, rng.random()), lambda n: "same words " * n, lambda n: "".join(chr(rng.randint(33, 126)) for _ in range(n * 5)), lambda n: f"é{n} " * n]
+    verdicts = Counter()
+    for _ in range(400):
+        text = " ".join(rng.choice(kinds[:1] * 4 + kinds)(rng.choice([1, 3, 20, 150, 800])) for _ in range(rng.randint(0, 3))).encode()
+        got = quality.band_verdict(text, coder)[2]
+        assert got == plain_verdict(text), (len(text), text[:100])
+        verdicts[got] += 1
+    assert min(verdicts.values()) > 40
+
+
+def test_the_last_chunk_counts():
+    coder = zstandard.ZstdCompressor(level=quality.LEVEL)
+    head = prose(2000, 5).encode()[: quality.CHUNK]
+    assert quality.band_verdict(head + b"x" * 500, coder)[1] > 0.1

@@ -22,9 +22,7 @@ CHUNK = 4096
 LEVEL = 3
 #: Production limits: (bytes, least ratio, greatest ratio); between two lengths they are interpolated over the
 #: logarithm of the length. Set once from labelled prose, a little outside what good documents show.
-BANDS = ((64, 0.60, 1.25), (128, 0.58, 1.05), (256, 0.525, 0.98), (512, 0.50, 0.88), (724, 0.484, 0.83), (1024, 0.472, 0.78), (1448, 0.461, 0.74), (2048, 0.453, 0.70), (2896, 0.445, 0.67), (4096, 0.434, 0.64), (8192, 0.415, 0.62), (16384, 0.39, 0.60), (65536, 0.365, 0.60), (1 << 20, 0.33, 0.60))
-#: A chunk shorter than this says little; it counts only as the sole chunk.
-LEAST_CHUNK = 512
+BANDS = ((1, 0.60, 16.0), (16, 0.60, 1.9), (32, 0.60, 1.6), (64, 0.60, 1.25), (128, 0.58, 1.05), (256, 0.525, 0.98), (512, 0.50, 0.88), (724, 0.484, 0.83), (1024, 0.472, 0.78), (1448, 0.461, 0.74), (2048, 0.453, 0.70), (2896, 0.445, 0.67), (4096, 0.434, 0.64), (8192, 0.415, 0.62), (16384, 0.39, 0.60), (65536, 0.365, 0.60), (1 << 20, 0.33, 0.60))
 #: The share of a document's judged chunk bytes that may lie outside the bands.
 MOST_BAD = 0.25
 FIELDS = [field(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [field("base_failed", T.BooleanType()), field("ratio", T.DoubleType()), field("bad_share", T.DoubleType()), field("kept", T.BooleanType())]
@@ -80,8 +78,6 @@ def band_verdict(data: bytes, coder: zstandard.ZstdCompressor, bands: tuple = BA
     if not data:
         return None, 0.0, False
     parts = [data[i : i + chunk] for i in range(0, len(data), chunk)]
-    if len(parts) > 1 and len(parts[-1]) < LEAST_CHUNK:
-        parts.pop()
     size = np.array([len(data), *map(len, parts)])
     whole = len(coder.compress(data)) if len(parts) > 1 or len(parts[0]) < len(data) else None
     packed = [len(coder.compress(p)) for p in parts]
@@ -121,7 +117,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    verdict = "kept_by_quality_rules"
-    out = map_texts(docs, "text", docs.columns, [field(verdict, T.BooleanType())], lambda texts: [judge(texts)[-1]])
-    return out.filter(F.col(verdict)).select(*docs.columns)
+    """The documents that the rules keep, with their own columns.
+
+    Null, empty and blank texts have no words and go. Equal texts stay or go together, repeated rows stay repeated, an empty
+    table gives an empty result; columns of any names pass through unchanged.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    out = map_texts(named, own["text"], list(own.values()), [field("verdict", T.BooleanType())], lambda texts: [judge(texts)[-1]])
+    return out.filter("verdict").select(*[F.col(n).alias(c) for c, n in own.items()])
