@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -67,3 +67,74 @@ def test_documents(spark):
             at += n
         assert at <= 1024
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every place for every item."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room >= sizes[i]:
+                rest = list(bins)
+                rest.remove(room)
+                place(i + 1, [*rest, room - sizes[i]])
+        place(i + 1, [*bins, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_against_the_optimum():
+    rng = random.Random(17)
+    equal = 0
+    for _ in range(400):
+        cap = rng.choice([10, 16, 30])
+        sizes = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 9))), reverse=True)
+        bins = packing.packing_plan(Counter(sizes), cap)[1]
+        least = fewest(sizes, cap)
+        assert least <= bins <= 11 * least / 9 + 1
+        equal += bins == least
+    assert equal >= 380
+
+
+def test_full_pieces_and_parts(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(i, rng.choice([16, 16, 16, 1, 1, 1, 1, rng.randint(1, 15)]), "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, length bigint, rank_ string").repartition(7)
+    monkeypatch.setattr(packing, "PART_ROWS", 100)
+    got = packing.pack_pieces(df, ["doc_id"], 16).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [r[:2] for r in rows]
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for own in used.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 16
+    assert len(used) <= -(-sum(r[1] for r in rows) // 16) + 2
+
+
+def test_ids_of_many_parts_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id AS doc_id", "cast(3 AS bigint) AS length")
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    parts = set()
+    real = np.zeros
+
+    def seen(shape, *args):
+        if isinstance(shape, tuple) and shape[0] == 17:
+            parts.add(shape[1])
+        return real(shape, *args)
+
+    monkeypatch.setattr(packing.np, "zeros", seen)
+    packing.pack_pieces(df, ["doc_id"], 16)
+    packing.pack_pieces(df.limit(120), ["doc_id"], 16)
+    assert parts == {20, 3}

@@ -29,8 +29,9 @@ from tracklake.llm.common import as_bytes, cut, slices, table
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length are ranked in so many independent parts, so that a length that very many share is spread.
-SALTS = 64
+#: Pieces of one length are ranked in independent parts, one for so many pieces of all lengths, so that a length that very many
+#: share is spread; and in so many at most, whose counts reach the driver.
+PART_ROWS, MOST_PARTS = 250_000, 1024
 
 
 def token_bytes(token: str) -> bytes:
@@ -181,30 +182,31 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return moves, bins
 
 
-def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
     """The pieces with sequence_id and offset, in as few sequences of ``capacity`` as best-fit packing finds.
 
-    ``pieces`` needs ``length``, from 1 to the capacity; every row is placed, repeated ones too. The counts of each
-    length and part, at most ``capacity * salts`` numbers, are all that reaches the driver.
+    ``pieces`` needs ``length``, from 1 to the capacity; every row is placed, repeated ones too, and those equal in ``order``
+    may take each other's places. Columns named part_, rank_, sequence_id or offset give way; an empty table gives an empty
+    result. Pieces of full length need a sequence each and no plan. The counts of the other lengths by part, at most
+    ``capacity * MOST_PARTS`` numbers, are all that reaches the driver.
     """
-    pieces = cut(pieces.withColumn("part_", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")))
-    base: dict[tuple[int, int], int] = {}
-    counts: dict[int, int] = defaultdict(int)
-    for r in sorted(pieces.groupBy("length", "part_").count().collect()):
-        base[r[0], r[1]] = counts[r[0]]
-        counts[r[0]] += r[2]
-    moves, _ = packing_plan(counts, capacity)
+    names = [c for c in pieces.columns if c not in ("part_", "rank_", "sequence_id", "offset")]
+    pieces = cut(pieces.select(*names))
+    below = pieces.filter(F.col("length") < capacity)
+    parts = parts or max(1, min(MOST_PARTS, -(-below.count() // PART_ROWS)))
+    below = below.withColumn("part_", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    told = below.groupBy("length", "part_").count().toArrow()
+    bases = np.zeros((capacity + 1, parts), np.int64)
+    bases[told["length"].to_numpy(), told["part_"].to_numpy()] = told["count"].to_numpy()
+    moves, bins = packing_plan(dict(enumerate(bases.sum(axis=1).tolist())), capacity)
+    bases = np.cumsum(bases, axis=1) - bases
     moves.sort()
     step = 1 << 44  # above any rank
     starts = np.array([m[0] * step + m[1] for m in moves], np.int64)
     each, first_bin, offset = (np.array([m[k] for m in moves], np.int64) for k in (3, 4, 5))
     first_rank = np.array([m[1] for m in moves], np.int64)
-    bases = np.zeros((capacity + 1, salts), np.int64)
-    for (length, part), n in base.items():
-        bases[length, part] = n
     rank = F.row_number().over(Window.partitionBy("length", "part_").orderBy(*order)).cast("long")
-    ranked = pieces.withColumn("rank_", rank)
-    names = [c for c in pieces.columns if c not in ("part_", "sequence_id", "offset")]
+    ranked = below.withColumn("rank_", rank)
     schema = T.StructType([*(ranked.schema[n] for n in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,17 +217,19 @@ def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, s
             within = r - first_rank[move]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(first_bin[move] + within // each[move]), pa.array(offset[move] + within % each[move] * length)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    # The written pieces lie in fixed partitions in a fixed order, so these ids are the same whenever a task is run again.
+    full = pieces.filter(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return ranked.mapInArrow(run, schema).union(full)
 
 
-def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = True, salts: int = SALTS) -> DataFrame:
+def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = True, parts: int | None = None) -> DataFrame:
     """A row for each piece of each document, with its ids and its place: sequence_id and offset.
 
     A null or empty text is packed as its end id alone; a longer document than the capacity is cut into full pieces,
     its first may be shorter. Repeated rows are packed as often as they occur, null doc_ids are kept, an
     empty table gives an empty result, and other columns of the input are not read.
     """
-    return pack_pieces(tokenize_pieces(df, doc_id, text, path, capacity, end, ids), ["doc_id", "piece", "start", "ids_crc32"], capacity, salts)
+    return pack_pieces(tokenize_pieces(df, doc_id, text, path, capacity, end, ids), ["doc_id", "piece", "start", "ids_crc32"], capacity, parts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,5 +237,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and where each lies."""
-    return pack_documents(docs, ids=False)
+    """The documents' pieces with their ids, and where each lies: what training reads.
+
+    A null or empty text is one piece, the end id alone; repeated rows are packed as often as they occur; an empty table gives
+    an empty result. Of the documents' columns only doc_id and text are read.
+    """
+    return pack_documents(docs)
