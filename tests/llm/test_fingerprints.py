@@ -40,6 +40,10 @@ def test_small_sets_are_exact(spark, texts, tmp_path):
         edited = t[: len(t) - half] + n[:half]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].near_edited == pytest.approx(likeness(shingles(t), shingles(edited)))
+        union = shingles(t) | shingles(edited)
+        if shingles(edited):
+            assert got[i].edited_in_text == pytest.approx(len(shingles(t) & shingles(edited)) / len(shingles(edited)) if union else 1.0)
+        assert got[i].n_shingles == len(shingles(t))
         assert got[i].near_next == pytest.approx(likeness(shingles(t), shingles(n)))
     assert got[100].fingerprint == got[101].fingerprint == ""
 
@@ -71,3 +75,23 @@ def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     plan = fp.with_next(fp.fingerprints(df), "doc_id", "text", ["text", "sketch"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize(("rows", "first"), [(2, 4), (1, 8), (3, 2)])
+def test_next_row_over_ranges_in_ranges(spark, monkeypatch, rows, first):
+    monkeypatch.setattr(fp, "RANGE_ROWS", rows)
+    monkeypatch.setattr(fp, "FIRST", first)
+    data = [(i * i % 997 * (-1 if i % 5 == 0 else 1), f"t{i}") for i in range(1, 45)] + [(None, "n")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    ranges = fp.with_ranges(df.withColumn("order_", F.coalesce("doc_id", F.lit(-(2**63)))), "order_")
+    told = {r.text: r.range_ for r in ranges.collect()}
+    by_key = sorted(data, key=lambda r: (r[0] is not None, r[0]))
+    assert [told[t] for _, t in by_key] == sorted(told.values()) and len(set(told.values())) > first
+    got = {r.text: r.next_text for r in fp.with_next(df, "doc_id", "text", ["text"]).collect()}
+    order = [t for _, t in sorted(data[:-1], key=lambda r: (-r[0], r[1]))] + ["n"]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        fp.with_next(spark.createDataFrame([("a", "t")], "doc_id string, text string"), "doc_id", "text", ["text"])

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.llm.common import table
 
 WORDS = 5
 K = 128
-#: Documents in a range of ids, about, and how many ranges there are at most: that many numbers reach the driver.
+#: Documents in a range of ids, about. Beyond FIRST ranges each is cut again, into as many at most: FIRST bounds reach the
+#: driver, FIRST**2 the tasks.
 RANGE_ROWS = 4096
-MOST_RANGES = 1024
+FIRST = 1024
 WHITE = " \t\n\x0b\f\r"
 
 
@@ -78,32 +80,54 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     return with_sketch(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), "text", "sketch", k)
 
 
+def below(cuts: Column, value: Column) -> Column:
+    """How many of the ascending ``cuts``, fewer than FIRST, are less than the value, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((FIRST - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
+
+
+def quantiles(order: str, parts: int) -> Column:
+    """The bounds between so many parts of about as many rows; ascending, each once."""
+    return F.array_sort(F.array_distinct(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * FIRST)))
+
+
+def with_ranges(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with range_, ascending with ``order`` in ranges of about RANGE_ROWS rows."""
+    n = rows.count()
+    first = max(1, min(FIRST, n // RANGE_ROWS))
+    if first == 1:
+        return rows.withColumn("range_", F.lit(0).cast("bigint"))
+    cuts = rows.agg(quantiles(order, first)).first()[0]
+    rows = rows.withColumn("range_", below(F.array(*[F.lit(c) for c in cuts]), F.col(order)).cast("bigint"))
+    second = min(FIRST, n // first // RANGE_ROWS)
+    if second < 2:
+        return rows
+    inner = rows.groupBy("range_").agg(quantiles(order, second).alias("cuts_"))
+    return rows.join(F.broadcast(inner), "range_").withColumn("range_", F.col("range_") * FIRST + below(F.col("cuts_"), F.col(order))).drop("cuts_")
+
+
 def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
     """The rows with next_<column> of the next row by descending ``key`` (nulls last), then ``tie``; the first follows the last.
 
-    Rows are dealt into ranges of the key. The first row of each range is also put behind the range before it, so each range
-    is finished alone. Only the ranges' bounds and greatest keys reach the driver. A key is held to be (nearly) unique.
+    The key is an integer. Rows are dealt into ranges of it, whose number grows with the table. The first row of each
+    range is also put behind the range before it, so each range is finished alone. What is broadcast are a bound and a
+    neighbour for each range, FIRST**2 at most. A key is held to be (nearly) unique. Repeated rows follow each other.
     """
-    order = F.coalesce(F.col(key), F.lit(-(2**63)))
-    rows = rows.withColumn("order_", order)
-    n, bounds = rows.agg(F.count(F.lit(1)), F.percentile_approx("order_", [i / MOST_RANGES for i in range(1, MOST_RANGES)], 100 * MOST_RANGES)).first()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    cuts = sorted({bounds[i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if n else []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("order_"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range_", place)
-    tops = {r[0]: r[1] for r in rows.groupBy("range_").agg(F.max("order_")).collect()}
-    filled = sorted(tops)
-    before = {r: filled[(i + 1) % len(filled)] for i, r in enumerate(filled)}
-    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for r in filled for x in (r, values[r])]), F.col("range_"))
-    if filled:
-        behind = F.when(F.col("order_") == pick(tops), F.array(F.struct(F.col("range_").alias("at"), F.lit(False).alias("extra")), F.struct(pick(before).alias("at"), F.lit(True).alias("extra"))))
-        rows = rows.withColumn("to_", F.explode(F.coalesce(behind, F.array(F.struct(F.col("range_").alias("at"), F.lit(False).alias("extra"))))))
-    else:
-        rows = rows.withColumn("to_", F.struct(F.col("range_").alias("at"), F.lit(False).alias("extra")))
+    if not isinstance(rows.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer, not {rows.schema[key].dataType.simpleString()}")
+    rows = with_ranges(rows.withColumn("order_", F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))), "order_")
+    tops = rows.groupBy("range_").agg(F.max("order_").alias("top_"))
+    following = Window.orderBy("range_")
+    tops = tops.withColumns({"before_": F.lead("range_").over(following), "least_": F.min("range_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    tops = tops.select("range_", "top_", F.coalesce("before_", "least_").alias("before_"))
+    rows = rows.join(F.broadcast(tops), "range_")
+    here = F.struct(F.col("range_").alias("at"), F.lit(False).alias("extra"))
+    behind = F.when(F.col("order_") == F.col("top_"), F.array(here, F.struct(F.col("before_").alias("at"), F.lit(True).alias("extra")))).otherwise(F.array(here))
+    rows = rows.withColumn("to_", F.explode(behind))
     rows = rows.select("*", F.col("to_.at").alias("at_"), F.col("to_.extra").alias("extra_"))
     window = Window.partitionBy("at_").orderBy("extra_", F.desc("order_"), tie)
     rows = rows.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
-    return rows.filter(~F.col("extra_")).drop("order_", "range_", "to_", "at_", "extra_")
+    return rows.filter(~F.col("extra_")).drop("order_", "range_", "top_", "before_", "to_", "at_", "extra_")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +136,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = with_sketch(rows, "edited", "edited_sketch")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("sketch").alias("fingerprint"), as_string("edited_sketch").alias("edited_fingerprint"), resemblance("sketch", "edited_sketch").alias("near_edited"), resemblance("sketch", "next_sketch").alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("sketch").alias("fingerprint"), as_string("edited_sketch").alias("edited_fingerprint"), resemblance("sketch", "edited_sketch").alias("near_edited"), resemblance("sketch", "next_sketch").alias("near_next"), containment("edited_sketch", "sketch").alias("edited_in_text"), distinct_shingles("sketch").alias("n_shingles"))
