@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracklake.operators.features import TIE, motion
 from tracklake.operators.quantiles import exact_quantiles
+from tracklake.operators.staging import stage
 from tracklake.schema import PLATE, TIME
 
 FEATURES = ["speed", "acceleration", "direction_change"]
@@ -100,6 +101,8 @@ def detect_outliers(df: DataFrame, contamination: float = 0.05, seed: int = 42,
     def score(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack([a, b, c])))
 
+    # Staged, as the limit is found in one reading of the scores and applied in another.
     scored = points.withColumn("score_", F.when(whole, score(*[F.when(whole, F.col(c)).otherwise(0.0) for c in FEATURES])))
+    scored = stage(scored.drop(*FEATURES))
     limit = exact_quantiles(scored, ["score_"], [contamination], "linear")["score_"][0]
-    return scored.withColumn("is_outlier", F.when(F.col("score_") < limit, -1).otherwise(1)).drop(*FEATURES, "score_")
+    return scored.withColumn("is_outlier", F.when(F.col("score_") < limit, -1).otherwise(1)).drop("score_")

@@ -16,8 +16,8 @@ from pyspark.storagelevel import StorageLevel
 from tracklake.operators.features import add_implied_speed, add_time_distance, contiguous_occupied
 from tracklake.operators.filters import occupied
 
-#: With so many values or fewer left, Spark's own percentile picks among them.
-FEW = 1_000_000
+#: So many values or fewer are sorted in one task.
+FEW = 50_000
 BINS = 2048
 
 
@@ -35,16 +35,17 @@ def ranks_of(n: int, q: float, interpolation: str) -> tuple[list[int], float]:
 def order_statistics(values: DataFrame, column: str, n: int, low: float, high: float, ranks: Sequence[int], few: int = FEW) -> dict[int, float]:
     """The values of these ranks among the n non-null ones, which lie between low and high."""
     out: dict[int, float] = {}
-    # Open intervals of values: (rank of the first in it, how many, least, greatest, wanted ranks).
-    todo = [(0, n, low, high, sorted(set(ranks)))]
+    # Intervals of values: (rank of the first in it, how many, least, greatest, wanted ranks).
+    todo, small = [(0, n, low, high, sorted(set(ranks)))], []
     while todo:
         base, size, lo, hi, wanted = todo.pop()
-        inside = values.filter(F.col(column).between(lo, hi))
-        if size <= few or not lo < hi:
-            picked = [F.expr(f"percentile_disc({(r - base + 0.5) / size!r}) WITHIN GROUP (ORDER BY `{column}`)") for r in wanted]
-            found = inside.agg(*[p.alias(f"r{i}") for i, p in enumerate(picked)]).first()
-            out |= dict(zip(wanted, found, strict=True))
+        if not lo < hi:
+            out |= dict.fromkeys(wanted, lo)
+            continue
+        if size <= few:
+            small.append((base, lo, hi, wanted))
             continue
+        inside = values.filter(F.col(column).between(lo, hi))
         bin_ = F.least(F.floor((F.col(column) - lo) / ((hi - lo) / BINS)), F.lit(BINS - 1))
         counted = sorted(inside.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("least"), F.max(column).alias("most")).collect())
         for row in counted:
@@ -52,22 +53,31 @@ def order_statistics(values: DataFrame, column: str, n: int, low: float, high: f
             if own:
                 todo.append((base, row.n, row.least, row.most, own))
             base += row.n
+    if small:  # all of them in one pass
+        inside = [F.sort_array(F.collect_list(F.when(F.col(column).between(lo, hi), F.col(column)))) for _, lo, hi, _ in small]
+        lists = values.agg(*[x.alias(f"l{i}") for i, x in enumerate(inside)])
+        picked = lists.select(*[F.get(f"l{i}", r - base).alias(f"v{i}_{r}") for i, (base, _, _, wanted) in enumerate(small) for r in wanted]).first()
+        out |= {r: picked[f"v{i}_{r}"] for i, (_, _, _, wanted) in enumerate(small) for r in wanted}
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interpolation: str = "nearest") -> dict[str, list[float | None]]:
-    """Quantiles of each column's non-null values; None for a column without any."""
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+def exact_quantiles(df: DataFrame, columns: Sequence[str | Column], probabilities: Sequence[float], interpolation: str | Sequence[str] = "nearest") -> dict[str, list[float | None]]:
+    """Quantiles of each column's non-null values; None for a column without any. ``interpolation`` is one kind, or one for each
+    of the probabilities. A column can be an expression, if it has a name."""
+    kinds = [interpolation] * len(probabilities) if isinstance(interpolation, str) else list(interpolation)
+    chosen = df.select(*columns)
+    names = chosen.columns
+    values = chosen.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = values.agg(*[f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+        row = values.agg(*[f(f"c{i}").alias(f"{name}_{i}") for i in range(len(names)) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
         out: dict[str, list[float | None]] = {}
-        for i, c in enumerate(columns):
+        for i, c in enumerate(names):
             n = row[f"n_{i}"]
             if not n:
                 out[c] = [None] * len(probabilities)
                 continue
-            needs = [ranks_of(n, q, interpolation) for q in probabilities]
-            found = order_statistics(values, c, n, row[f"lo_{i}"], row[f"hi_{i}"], [r for ranks, _ in needs for r in ranks])
+            needs = [ranks_of(n, q, kind) for q, kind in zip(probabilities, kinds, strict=True)]
+            found = order_statistics(values, f"c{i}", n, row[f"lo_{i}"], row[f"hi_{i}"], [r for ranks, _ in needs for r in ranks])
             out[c] = [found[r[0]] if len(r) == 1 else found[r[0]] + (found[r[1]] - found[r[0]]) * w for r, w in needs]
         return out
     finally:
@@ -104,9 +114,11 @@ TIERS = {"raw": [90.0, 95.0, 97.5, 99.0, 99.5, 99.9], "clean": [90.0, 95.0, 97.5
 def percentile_tiers(df: DataFrame, column: str, threshold: float) -> DataFrame:
     """(tier, percentile, value) with linear interpolation; a tier without values has null values."""
     spark = df.sparkSession
-    parts = {"raw": df, "clean": df.filter(F.col(column) <= threshold), "outlier": df.filter(F.col(column) > threshold)}
-    rows = [(tier, p, v) for tier, part in parts.items() for p, v in zip(TIERS[tier], exact_quantiles(part, [column], [p / 100 for p in TIERS[tier]], "linear")[column], strict=True)]
-    return spark.createDataFrame(rows, "tier string, percentile double, value double")
+    value = F.col(column)
+    parts = {"raw": value, "clean": F.when(value <= threshold, value), "outlier": F.when(value > threshold, value)}
+    every = sorted({p for ps in TIERS.values() for p in ps})
+    found = exact_quantiles(df, [part.alias(tier) for tier, part in parts.items()], [p / 100 for p in every], "linear")
+    return spark.createDataFrame([(tier, p, found[tier][every.index(p)]) for tier, ps in TIERS.items() for p in ps], "tier string, percentile double, value double")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

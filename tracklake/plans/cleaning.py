@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.operators import features, filters, periods, quantiles
+from tracklake.operators import features, periods, quantiles
 from tracklake.operators.outliers import detect_outliers
+from tracklake.operators.staging import stage
+from tracklake.schema import PLATE
 from tracklake.sources.parquet import save_parquet
 
 
@@ -20,14 +21,6 @@ class Cleaned:
     periods: DataFrame
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The table, computed once and kept in the checkpoint folder that the session names, or one of its own if it names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-"))
-    return df.checkpoint()
-
-
 def flagged_points(points: DataFrame, multiplier: float = 1.5, mode: str = "occupied", also: list[str] | None = None) -> DataFrame:
     """The point table with both flags, by thresholds from its own occupied points."""
     gap, jump = quantiles.point_thresholds(points, multiplier, mode)
@@ -41,12 +34,18 @@ def flagged_plates(flagged: DataFrame) -> DataFrame:
 
 
 def clean(flagged: DataFrame) -> DataFrame:
-    """The points of vehicles without any flagged point, without the flags."""
-    return filters.without_plates(flagged, flagged_plates(flagged)).drop("is_temporal_gap", "is_position_jump")
+    """The points of vehicles without any flagged point, without the flags; points without a plate go.
+
+    A vehicle's flags are gathered over the window by plate that its features need anyway, so its points aren't shuffled again.
+    """
+    flag = F.coalesce("is_temporal_gap", F.lit(False)) | F.coalesce("is_position_jump", F.lit(False))
+    marked = flagged.withColumn("flagged_", F.bool_or(flag).over(Window.partitionBy(PLATE)))
+    return marked.filter(F.col(PLATE).isNotNull() & ~F.col("flagged_")).drop("flagged_", "is_temporal_gap", "is_position_jump")
 
 
 def period_table(cleaned: DataFrame, least: int = 3) -> DataFrame:
-    return periods.longer_periods(periods.summarize_periods(periods.add_period_id(cleaned)), least)
+    """The periods of so many points or more. The points are staged, as their ids are counted in one reading and given in another."""
+    return periods.longer_periods(periods.summarize_periods(periods.add_period_id(stage(cleaned))), least)
 
 
 def enrich(period_rows: DataFrame, with_period: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def run(points: DataFrame, multiplier: float = 1.5, mode: str = "occupied", cont
     tie = [c for c in (features.TIE,) if c in points.columns]
     labelled = stage(detect_outliers(flagged_points(points, multiplier, mode, also=tie), contamination, seed))
     cleaned = stage(clean(labelled))
-    rows = stage(period_table(cleaned, least))
+    rows = stage(periods.longer_periods(periods.summarize_periods(periods.add_period_id(cleaned)), least))
     attached = stage(periods.attach_period_id(cleaned, rows))
     out = Cleaned(cleaned, attached, enrich(rows, attached))
     if output:

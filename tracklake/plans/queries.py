@@ -247,7 +247,8 @@ QS = [0.01, 0.25, 0.5, 0.75, 0.99]
 @query(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, {nearest('l_extendedprice', q)} AS nearest, round({linear('l_extendedprice', q)}, 6) AS linear FROM lineitem" for q in QS))
 def quantile_nearest(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/lineitem.parquet")
-    near, line = (quantiles.exact_quantiles(rows, ["l_extendedprice"], QS, how)["l_extendedprice"] for how in ("nearest", "linear"))
+    found = quantiles.exact_quantiles(rows, ["l_extendedprice"], QS + QS, ["nearest"] * len(QS) + ["linear"] * len(QS))["l_extendedprice"]
+    near, line = found[: len(QS)], found[len(QS) :]
     return spark.createDataFrame([(q, n, round(x, 6)) for q, n, x in zip(QS, near, line, strict=True)], "q double, nearest double, linear double")
 
 
@@ -259,7 +260,7 @@ def tier_sql() -> str:
 
 @query(tier_sql())
 def percentile_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.contiguous_occupied(made_features(spark, sf))
+    rows = cleaning.stage(features.contiguous_occupied(made_features(spark, sf)).select("implied_speed_kph"))
     limit = quantiles.iqr_threshold(rows, "implied_speed_kph", interpolation="linear")
     return quantiles.percentile_tiers(rows, "implied_speed_kph", limit).select("tier", "percentile", *r6("value"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tracklake.operators import features, quantiles
+from tracklake.operators.staging import stage
 from tracklake.sources.parquet import save_csv
 
 MEASURES = {"time_diff": "time_diff_seconds", "speed": "implied_speed_kph"}
@@ -19,7 +20,7 @@ def segments(points: DataFrame) -> DataFrame:
 
 def threshold_study(points: DataFrame, output: str | None = None, multiplier: float = 1.5) -> dict[str, DataFrame]:
     """All tables by name; with ``output`` each is also a CSV file there."""
-    own = segments(points)
+    own = stage(segments(points))
     found = dict(zip(MEASURES, quantiles.point_thresholds(points, multiplier, "contiguous"), strict=True))
     out: dict[str, DataFrame] = {}
     for name, column in MEASURES.items():
