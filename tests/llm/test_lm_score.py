@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tracklake.llm import lm_score
 from tracklake.llm.common import Tokens, word_hashes
@@ -109,3 +111,55 @@ def test_scores(spark):
     by = {r.doc_id: r for r in rows_got}
     assert by[103].score / by[103].n_tokens < by[0].score / by[0].n_tokens
     assert lm_score.score_documents(df.limit(0)).count() == 0
+
+
+def test_one_word_equals_the_batch(vocabulary, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["th", "er", "ing", "ß", "q", "あ", "0"], k=rng.randint(1, 60))) for _ in range(200)] + ["a", "aa" * 500]
+    times = np.array([rng.random() for _ in words])
+    weights = lm_score.first_weights(vocabulary).piece
+    monkeypatch.setattr(lm_score, "FEW", 10**9)
+    monkeypatch.setattr(lm_score, "PLACES", 37)
+    one = lm_score.word_log_probabilities(words, vocabulary, weights), lm_score.expected_counts(words, times, vocabulary, weights)
+    monkeypatch.setattr(lm_score, "FEW", 0)
+    many = lm_score.word_log_probabilities(words, vocabulary, weights), lm_score.expected_counts(words, times, vocabulary, weights)
+    assert np.allclose(one[0], many[0]) and np.allclose(one[1], many[1])
+
+
+def test_a_very_long_word_takes_seconds(vocabulary):
+    rng = random.Random(9)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000))
+    weights = lm_score.first_weights(vocabulary).piece
+    began = time.perf_counter()
+    assert lm_score.word_log_probabilities([word], vocabulary, weights)[0] < -300_000
+    assert lm_score.expected_counts([word], np.ones(1), vocabulary, weights).sum() > 100_000
+    assert time.perf_counter() - began < 20
+
+
+def test_scores_through_hash_ranges_and_parts(spark, vocabulary, monkeypatch):
+    rng = random.Random(6)
+    pool = ["".join(rng.choices(["th", "er", "ing", "on", "re", "and"], k=rng.randint(1, 4))) for _ in range(300)]
+    rows = [(i, "every " + " ".join(rng.choices(pool, k=rng.randint(0, 30))) + (" every" if i % 3 else "")) for i in range(80)]
+    rows += [(90, rows[4][1]), (91, None), (92, "x" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    by_common = {r.doc_id: r for r in lm_score.score_documents(df, rounds=1).collect()}
+    monkeypatch.setattr(lm_score, "GROUP", 25)  # 83 documents have one word, so its occurrences are parted
+    for common in (2, 40):
+        monkeypatch.setattr(lm_score, "COMMON", common)
+        got = {r.doc_id: r for r in lm_score.score_documents(df, rounds=1).collect()}
+        assert got.keys() == by_common.keys()
+        for i, r in got.items():
+            assert r[:5] == by_common[i][:5] and r[5:] == pytest.approx(by_common[i][5:])
+    # Whole texts by brute force, the fitted weights taken from the module's own fit.
+    words = lm_score.word_counts(df.select("text", lm_score.held_out(F.col("doc_id")).alias("held_out")))
+    ends = words.filter("length(word) = 0").first().times
+    weights = lm_score.fit(words.filter("length(word) > 0"), ends, PATH, 1)
+    for i, text in rows[:3]:
+        want = sum(brute(SPACE + w, vocabulary, weights.piece)[0] for w in text.lower().split() if len(w) < 14) + weights.end
+        want += sum(lm_score.word_log_probabilities([w], vocabulary, weights.piece)[0] for w in text.lower().split() if len(w) >= 14)
+        assert by_common[i].score == pytest.approx(want / math.log(10))
+
+
+def test_words_of_one_hash_are_an_error():
+    with pytest.raises(ValueError, match="one hash"):
+        lm_score.Known.of(np.array([5, 5], np.uint64), np.ones(2), np.zeros(2), 10.0)

@@ -4,7 +4,9 @@ The pieces of an existing vocabulary weigh every way to cut a word; a log-space
 pieces adds them all up, so a text's score is its marginal probability, not that of one best cut. The vocabulary's own
 scores start the weights; expectation and maximisation over the training documents' words fit them to the corpus.
 
-Words are counted and scored once each, not once per occurrence. Documents meet them as packed arrays of word hashes.
+Words are counted and scored once each, not once per occurrence. The most frequent words, a fixed number of them, are
+known to every task, so their occurrences are added up where they are read. The others meet their scores by hash range and,
+as one of them can still be in very many texts, by part of the texts too.
 """
 
 from __future__ import annotations
@@ -21,21 +23,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.llm.common import Fresh, Tokens, as_bytes, cut, field, map_texts, slices, sort_segments, table, word_hashes
-from tracklake.llm.lattice import SPACE, Batch, Pieces, by_length, pieces
+from tracklake.llm.common import Fresh, Tokens, as_bytes, cut, field, map_texts, mix, slices, table, word_hashes
+from tracklake.llm.lattice import FEW, PLACES, SPACE, Batch, Pieces, by_length, pieces
 
 #: Rounds of expectation and maximisation.
 ROUNDS = 4
 #: What each piece counts beyond its occurrences, so that none is impossible.
 SMOOTHING = 0.02
+#: Words that go through the lattice together, about: the more, the more of one length.
+TOGETHER = 100_000
 #: Words, repeated ones too, that a mapper counts before it sends them.
-COUNTED = 2_500_000
-#: Tokens of one hash range, about.
-GROUP = 8_000_000
-#: Distinct words of documents that a mapper gathers before it sends them.
-BUFFER = 2_000_000
-U8, U4 = np.dtype("<u8"), np.dtype("<u4")
-F8 = np.dtype("<f8")
+COUNTED = 1_500_000
+#: Words that every task knows: the most frequent ones, as 24 bytes each.
+COMMON = 1 << 16
+#: Occurrences of other words that one group of the reducers meets, about.
+GROUP = 2_000_000
+#: Occurrences of other words that a mapper gathers before it sends them.
+BUFFER = 500_000
+U8, F8 = np.dtype("<u8"), np.dtype("<f8")
+U4, I8 = np.dtype("<u4"), np.dtype("<i8")
 
 
 @dataclass
@@ -68,8 +74,11 @@ def refitted(v: Pieces, counts: np.ndarray, ends: float) -> Weights:
 
 def spelling(batch: Batch, column: int, rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """For characters that are no piece: which of the distinct ones each is, and the ids that spell those."""
-    distinct, which = np.unique(batch.codes[column, rows], return_inverse=True)
-    v = batch.vocabulary
+    return spelling_of(batch.codes[column, rows], batch.vocabulary)
+
+
+def spelling_of(codes: np.ndarray, v: Pieces) -> tuple[np.ndarray, list[list[int]]]:
+    distinct, which = np.unique(codes, return_inverse=True)
     return which, [[int(v.byte[x]) for x in chr(int(c)).encode("utf-8", "surrogatepass")] if v.byte[0] >= 0 else [v.unknown] for c in distinct]
 
 
@@ -95,11 +104,68 @@ def forward(batch: Batch, weights: np.ndarray, keep: list | None = None) -> np.n
     return alpha
 
 
+def added(values: list[float]) -> float:
+    """The logarithm of the sum of what has these logarithms."""
+    top = max(values)
+    return top if len(values) == 1 or top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def costs_of(batch: Batch, row: int, starts: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The log weights of a word's edges; one without a piece is spelled."""
+    cost = weights[found]
+    bad = np.flatnonzero(found < 0)
+    if len(bad):
+        which, ids = spelt_at(batch, row, starts[bad])
+        cost[bad] = np.array([weights[x].sum() for x in ids])[which]
+    return cost
+
+
+def spelt_at(batch: Batch, row: int, places: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    return spelling_of(batch.codes[places, row], batch.vocabulary)
+
+
+def forward_one(batch: Batch, row: int, weights: np.ndarray) -> list[float]:
+    """Log probability of each prefix of one word, all its segmentations added."""
+    alpha = [0.0]
+    for lo in range(1, batch.length + 1, PLACES):
+        hi = min(lo + PLACES, batch.length + 1)
+        starts, ends, found = batch.edges(row, lo, hi, by_end=True)
+        cost = costs_of(batch, row, starts, found, weights).tolist()
+        edges, starts = np.searchsorted(ends, np.arange(lo, hi + 1)).tolist(), starts.tolist()
+        for a, z in zip(edges, edges[1:], strict=False):
+            alpha.append(added([alpha[starts[k]] + cost[k] for k in range(a, z)]))
+    return alpha
+
+
+def expected_one(batch: Batch, row: int, weights: np.ndarray, times: float, counts: np.ndarray) -> None:
+    """Adds to ``counts`` how often each piece is expected in so many occurrences of one word."""
+    alpha = np.array(forward_one(batch, row, weights))
+    beta = [-math.inf] * batch.length + [0.0]
+    for lo in reversed(range(0, batch.length, PLACES)):
+        hi = min(lo + PLACES, batch.length)
+        starts, ends, found = batch.edges(row, lo, hi, by_end=False)
+        cost = costs_of(batch, row, starts, found, weights)
+        own, edges, to = cost.tolist(), np.searchsorted(starts, np.arange(lo, hi + 1)).tolist(), ends.tolist()
+        for s in range(hi - 1, lo - 1, -1):
+            if edges[s - lo] < edges[s - lo + 1]:
+                beta[s] = added([beta[to[k]] + own[k] for k in range(edges[s - lo], edges[s - lo + 1])])
+        ahead = np.array(beta[lo : min(hi + batch.vocabulary.longest, batch.length) + 1])
+        with np.errstate(under="ignore"):
+            share = np.exp(alpha[starts] + cost + ahead[ends - lo] - alpha[-1]) * times
+        plain = found >= 0
+        np.add.at(counts, found[plain], share[plain])
+        if not plain.all():
+            which, ids = spelt_at(batch, row, starts[~plain])
+            for total, spelt in zip(np.bincount(which, weights=share[~plain], minlength=len(ids)), ids, strict=True):
+                np.add.at(counts, spelt, total)
+
+
 def word_log_probabilities(words: list[str], v: Pieces, weights: np.ndarray) -> np.ndarray:
     """Marginal natural log probability of each word, with the space before it."""
     out = np.zeros(len(words))
     for places, own in by_length([SPACE + w for w in words]):
-        out[places] = forward(Batch(own, v), weights)[-1]
+        batch = Batch(own, v)
+        out[places] = [forward_one(batch, row, weights)[-1] for row in range(batch.n)] if batch.n <= FEW else forward(batch, weights)[-1]
     return out
 
 
@@ -108,6 +174,10 @@ def expected_counts(words: list[str], times: np.ndarray, v: Pieces, weights: np.
     counts = np.zeros(v.size)
     for places, own in by_length([SPACE + w for w in words]):
         batch = Batch(own, v)
+        if batch.n <= FEW:
+            for row, place in enumerate(places):
+                expected_one(batch, row, weights, times[place], counts)
+            continue
         edges: list = []
         alpha = forward(batch, weights, edges)
         beta = np.full((batch.length + 1, batch.n), -np.inf)
@@ -134,36 +204,51 @@ def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, times in training) for every word of all documents; ``df`` has text and held_out."""
+    """(word, times in training, seen in all) for every word of all documents, and the empty word for their ends; ``df`` has text and held_out."""
     source = df.select(F.col("text").cast("string").alias("body"), F.col("held_out"))
 
-    def counted(parts: list[tuple[Tokens, np.ndarray]]) -> pa.RecordBatch:
+    def counted(parts: list[tuple[Tokens, np.ndarray]], ends: list[int]) -> pa.RecordBatch:
         h = np.concatenate([t.hashes for t, _ in parts])
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         times = np.bincount(which, weights=np.concatenate([w for _, w in parts]), minlength=len(distinct))
+        seen = np.bincount(which, minlength=len(distinct))
         words: list[bytes] = []
         order = np.sort(first)
         lo = 0
         for t, _ in parts:
             words += t.words(order[(order >= lo) & (order < lo + len(t.hashes))] - lo)
             lo += len(t.hashes)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times[which[order]].astype(np.int64))], names=["word", "times"])
+        columns = [(x[which[order]].astype(np.int64).tolist(), e) for x, e in zip((times, seen), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([*words, b""], pa.binary()), *(pa.array([*x, e], pa.int64()) for x, e in columns)], names=["word", "times", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n, ends = [], 0, [0, 0]
         for whole in batches:
             for b in slices(whole, "body"):
                 tokens = Tokens(as_bytes(b, "body"))
                 trains = 1.0 - np.array(b.column("held_out").to_pylist(), float)
                 parts.append((tokens, np.repeat(trains, tokens.counts)))
                 n += len(tokens.hashes)
+                ends = [ends[0] + int(trains.sum()), ends[1] + len(trains)]
                 if n > COUNTED:
-                    yield counted(parts)
-                    parts, n = [], 0
-        if n:
-            yield counted(parts)
+                    yield counted(parts, ends)
+                    parts, n, ends = [], 0, [0, 0]
+        if parts:
+            yield counted(parts, ends)
+
+    return source.mapInArrow(run, "word binary, times long, seen long").groupBy("word").agg(F.sum("times").alias("times"), F.sum("seen").alias("seen"))
 
-    return source.mapInArrow(run, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Weights:
@@ -176,7 +261,7 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Weights
         def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             own = pieces(path)
             total = np.zeros(own.size)
-            for b in batches:
+            for b in gathered(batches):
                 total += expected_counts([w.decode("utf-8", "replace") for w in b.column("word").to_pylist()], b.column("times").to_numpy().astype(float), own, now)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["piece", "expected"])
@@ -188,108 +273,146 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Weights
     return weights
 
 
-PACKED = "bucket int, classes binary, counts binary, hashes binary, times binary, logs binary"
+def scored_words(words: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
+    """The words by hash: times in training, seen in all, natural log probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = pieces(path)
+        for b in gathered(batches):
+            own = b.column("word").to_pylist()
+            logs = word_log_probabilities([w.decode("utf-8", "replace") for w in own], v, weights)
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(own).view(np.int64)), *(b.column(c).combine_chunks() for c in ("times", "seen")), pa.array(logs)], names=["hash", "times", "seen", "log"])
+
+    return words.mapInArrow(run, "hash long, times long, seen long, log double")
+
+
+@dataclass
+class Known:
+    """Words by ascending hash, with what they add to a text's sums: whether in training, log10 by counts, log10 by the lattice."""
+
+    hashes: np.ndarray
+    adds: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, times: np.ndarray, logs: np.ndarray, denominator: float) -> Known:
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            raise ValueError("two words have one hash")
+        times = times[order].astype(float)
+        return cls(hashes, np.array([times > 0, np.log10((times + 1.0) / denominator), logs[order] / math.log(10)], float))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these hashes are, and which of them are here."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+
+def sums(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.bincount(owner, weights=v, minlength=n) for v in values]
+
+
+def memberships(docs: DataFrame, common: Known) -> DataFrame:
+    """Every document's class of equal word sequences, number of words, and the sums over its common words."""
+
+    def label(texts: list[bytes]) -> list:
+        tokens = Tokens(texts)
+        at, here = common.find(tokens.hashes)
+        return [tokens.classes(), tokens.counts, *sums(common.adds[:, at[here]] if here.any() else np.zeros((3, 0)), tokens.documents()[here], len(texts))]
+
+    fields = [field("class", T.LongType()), field("words", T.LongType()), *(field(n, T.DoubleType()) for n in ("known0", "base0", "score0"))]
+    return map_texts(docs, "text", ["doc_id", "held_out"], fields, label)
+
+
+PACKED = "cell long, classes binary, counts binary, hashes binary, times binary, logs binary"
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
-KINDS = [pa.int32(), *[pa.binary()] * 5]
+KINDS = [pa.int64(), *[pa.binary()] * 5]
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, KINDS, strict=True)], names=NAMES)
 
 
-def hash_ranges(h: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by hash range, stable within, and (range, first, last + 1) in it."""
-    bucket = (h >> np.uint64(64 - bits)).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order])) + 1
-    return order, [(int(bucket[order[lo]]), int(lo), int(hi)) for lo, hi in zip([0, *edges], [*edges, len(h)], strict=True) if hi > lo]
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    edges = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+    return [(lo, hi) for lo, hi in zip([0, *edges], [*edges, len(keys)], strict=True) if hi > lo]
 
 
-def packed_words(words: DataFrame, path: str, weights: np.ndarray, bits: int) -> DataFrame:
-    """The words by hash range: hashes, times in training, log probabilities."""
+def packed_words(scored: DataFrame, most: int, common: Known, bits: int, salts: int) -> DataFrame:
+    """The other words by cell: hash range and part of the texts, to each of which all words of the range go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = pieces(path)
         for b in batches:
-            own = b.column("word").to_pylist()
-            if not own:
-                continue
-            h = word_hashes(own)
-            logs = word_log_probabilities([w.decode("utf-8", "replace") for w in own], v, weights)
-            order, ranges = hash_ranges(h, bits)
-            h, logs, times = h[order], logs[order], b.column("times").to_numpy()[order]
-            yield packed([(g, b"", b"", h[lo:hi].tobytes(), times[lo:hi].astype(U8).tobytes(), logs[lo:hi].tobytes()) for g, lo, hi in ranges])
-
-    return words.mapInArrow(run, PACKED)
-
+            h = b.column("hash").to_numpy().view(np.uint64)
+            rest = np.flatnonzero(~common.find(h)[1])
+            rest = rest[np.argsort(h[rest], kind="stable")]
+            h, times, logs = h[rest], b.column("times").to_numpy()[rest], b.column("log").to_numpy()[rest]
+            ranges = (h >> np.uint64(64 - bits)).astype(np.int64)
+            yield packed([(int(ranges[lo]) * salts + s, b"", b"", h[lo:hi].tobytes(), times[lo:hi].astype(U8).tobytes(), logs[lo:hi].tobytes()) for lo, hi in runs(ranges) for s in range(salts)])
 
-def distinct_words(tokens: Tokens, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of each document's distinct words, the documents' numbers, and how often each word is in it."""
-    sizes = tokens.counts[docs]
-    ends = np.cumsum(sizes)
-    h = tokens.hashes[np.repeat(tokens.first[docs] - ends + sizes, sizes) + np.arange(sizes.sum())]
-    sort_segments(h, np.concatenate([[0], ends]))
-    at = np.repeat(np.arange(len(docs)), sizes)
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])]))
-    return h[first], at[first], np.diff(first, append=len(h))
+    return scored.filter(F.col("seen") <= most).mapInArrow(run, PACKED)
 
 
-def packed_documents(df: DataFrame, bits: int) -> DataFrame:
-    """The distinct words of each class of equal word sequences by hash range: classes, words of each, hashes, times."""
+def packed_documents(df: DataFrame, common: Known, bits: int, salts: int) -> DataFrame:
+    """The other words of each class by cell: classes, words of each, hashes."""
     source = df.select(F.col("text").cast("string").alias("body"))
 
-    def pack(keys: np.ndarray, h: np.ndarray, doc: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        order, ranges = hash_ranges(h, bits)
-        h, doc, times = h[order], doc[order], times[order]
+    def pack(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        salt = (mix(keys.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
+        cell = (h >> np.uint64(64 - bits)).astype(np.int64) * salts + salt
+        order = np.lexsort((keys, cell))
+        keys, h, cell = keys[order], h[order], cell[order]
         rows = []
-        for g, lo, hi in ranges:
-            first = np.flatnonzero(np.diff(doc[lo:hi], prepend=-1))
-            rows.append((g, keys[doc[lo:hi][first]].tobytes(), np.diff(first, append=hi - lo).astype(U4).tobytes(), h[lo:hi].tobytes(), times[lo:hi].astype(U4).tobytes(), b""))
+        for lo, hi in runs(cell):
+            first = np.flatnonzero(np.concatenate([[True], keys[lo + 1 : hi] != keys[lo : hi - 1]]))
+            rows.append((int(cell[lo]), keys[lo:hi][first].tobytes(), np.diff(first, append=hi - lo).astype(U4).tobytes(), h[lo:hi].tobytes(), b"", b""))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
-        held, n, docs_held = [], 0, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for whole in batches:
             for b in slices(whole, "body"):
                 tokens = Tokens(as_bytes(b, "body"))
-                docs = fresh(tokens)
-                if not len(docs):
-                    continue
-                h, at, times = distinct_words(tokens, docs)
-                held.append((tokens.sequence_keys()[docs], h, at + docs_held, times))
-                docs_held += len(docs)
-                n += len(h)
+                new = np.zeros(len(tokens.counts), bool)
+                new[fresh(tokens)] = True
+                owner = tokens.documents()
+                rest = np.flatnonzero(new[owner])
+                rest = rest[~common.find(tokens.hashes[rest])[1]]
+                held.append((tokens.sequence_keys()[owner[rest]], tokens.hashes[rest]))
+                n += len(rest)
                 if n >= BUFFER:
                     yield pack(*map(np.concatenate, zip(*held, strict=True)))
-                    held, n, docs_held = [], 0, 0
-        if held:
+                    held, n = [], 0
+        if n:
             yield pack(*map(np.concatenate, zip(*held, strict=True)))
 
     return source.mapInArrow(run, PACKED)
 
 
 def class_scores(both: DataFrame, denominator: float) -> DataFrame:
-    """(class, known, base, score): sums over the words of each class; logs of base 10."""
+    """(class, known, base, score): sums over the other words of each class; logs of base 10."""
 
     def join(rows: pa.Table) -> pa.Table:
         blobs = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), kind)
         isword = pc.equal(pc.binary_length(rows["classes"]), 0)
         words, docs = rows.filter(isword), rows.filter(pc.invert(isword))
-        h = blobs(words["hashes"], U8)
-        order = np.argsort(h)
-        h, seen, logs = h[order], blobs(words["times"], U8)[order], blobs(words["logs"], F8)[order]
-        classes, counts = blobs(docs["classes"], np.dtype("<i8")), blobs(docs["counts"], U4).astype(np.int64)
-        at = np.searchsorted(h, blobs(docs["hashes"], U8))
-        times = blobs(docs["times"], U4).astype(float)
-        starts = np.cumsum(counts) - counts
-        total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        known = total(times * (seen > 0)[at]).astype(np.int64)
-        base, score = total(times * np.log10((seen + 1.0) / denominator)[at]), total(times * (logs / math.log(10))[at])
-        _, first = np.unique(classes, return_index=True)
-        return pa.table([pa.array(x[first]) for x in (classes, known, base, score)], names=["class", "known", "base", "score"])
-
-    return both.groupBy("bucket").applyInArrow(join, "class long, known long, base double, score double").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")])
+        known = Known.of(*(blobs(words[c], k) for c, k in (("hashes", U8), ("times", U8), ("logs", F8))), denominator)
+        out = []
+        for classes, counts, hashes in zip(*(docs[c].to_pylist() for c in ("classes", "counts", "hashes")), strict=True):
+            own, at = np.frombuffer(classes, I8), np.frombuffer(counts, U4)
+            place, here = known.find(np.frombuffer(hashes, U8))
+            if not here.all():
+                raise ValueError("a word of a document was not counted")
+            out.append((own, *sums(known.adds[:, place], np.repeat(np.arange(len(own)), at), len(own))))
+        whole = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, I8), *[np.zeros(0)] * 3]
+        _, first = np.unique(whole[0], return_index=True)
+        return pa.table([pa.array(x[first]) for x in whole], names=["class", "known", "base", "score"])
+
+    return both.groupBy("cell").applyInArrow(join, "class long, known double, base double, score double").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")])
 
 
 def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held: Column | None = None, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -304,28 +427,34 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), out.alias("held_out"))
     words = cut(word_counts(docs))
     tokens, distinct = words.agg(F.sum("times"), F.count_if(F.col("times") > 0)).first()
-    ends = docs.filter(~F.col("held_out")).count()
-    tokens, distinct = (tokens or 0) + ends, distinct + (ends > 0)
+    tokens = tokens or 0
+    ends = words.filter(F.length("word") == 0).select("times").first()
+    ends = ends[0] if ends else 0
+    words = words.filter(F.length("word") > 0)
     denominator = float(tokens + distinct + 1)
-    bits = max(3, math.ceil(math.log2(max(1, tokens) / GROUP)))
     weights = fit(words, ends, where, rounds)
-    both = packed_words(words, where, weights.piece, bits).union(packed_documents(docs, bits))
-    scores = cut(class_scores(both, denominator))  # so that the rows of a text with very many copies can be split in the join
-
-    def label(texts: list[bytes]) -> list:
-        tokens = Tokens(texts)
-        return [tokens.classes(), tokens.counts]
-
-    members = map_texts(docs, "text", ["doc_id", "held_out"], [field("class", T.LongType()), field("words", T.LongType())], label)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return members.join(scores, "class", "left").select(
+    scored = cut(scored_words(words, where, weights.piece))
+    top = scored.orderBy(F.desc("seen"), "hash").limit(COMMON).toArrow()
+    common = Known.of(top["hash"].to_numpy().view(np.uint64), top["times"].to_numpy(), top["log"].to_numpy(), denominator)
+    members = memberships(docs, common)
+    if top.num_rows < COMMON:
+        sums_of = members.select("*", *[F.lit(0.0).alias(c) for c in ("known", "base", "score")])
+    else:
+        most = top["seen"][-1].as_py()  # no other word occurs more often
+        rest = scored.agg(F.sum("seen")).first()[0] - pc.sum(top["seen"]).as_py()
+        salts = max(1, -(-most // GROUP))
+        bits = max(3, math.ceil(math.log2(max(1, rest) / GROUP / salts)))
+        both = packed_words(scored, most, common, bits, salts).union(packed_documents(docs, common, bits, salts))
+        sums_of = members.join(cut(class_scores(both, denominator)), "class", "left")  # written, so that the rows of a text with very many copies can be split in the join
+    both_sums = lambda c: F.col(f"{c}0") + F.coalesce(c, F.lit(0.0))
+    return sums_of.select(
         "doc_id",
         "held_out",
         (F.col("words") + 1).alias("n_tokens"),
-        (zero("known") + F.lit(int(ends > 0))).cast("bigint").alias("n_known"),
+        (both_sums("known") + F.lit(int(ends > 0))).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (zero("base") + F.lit(math.log10((ends + 1) / denominator))).alias("base_score"),
-        (zero("score") + F.lit(weights.end / math.log(10))).alias("score"),
+        (both_sums("base") + F.lit(math.log10((ends + 1) / denominator))).alias("base_score"),
+        (both_sums("score") + F.lit(weights.end / math.log(10))).alias("score"),
     )
 
 
