@@ -69,14 +69,14 @@ def occurrences(rows: DataFrame, as_hash: bool = False) -> DataFrame:
 
     def told(span: Column) -> Column:
         chunk = F.array_join(F.slice("lines", span.at, span.n), "\n")
-        return F.struct((F.md5(chunk) if as_hash else chunk).alias("chunk"), (((span.n > 1) | span.long) & (F.length(chunk) >= span.n)).alias("counts"))
+        return F.struct((F.md5(chunk) if as_hash else chunk).alias("chunk"), (((span.n > 1) | span.long) & (F.length(chunk) >= span.n)).alias("counts"), (n_words(chunk) if as_hash else F.lit(0)).alias("words"))
 
     spans = rows.select("id", "key", F.posexplode_outer(F.transform("spans", told)).alias("place", "told"))
-    return spans.filter("told.counts").select("id", "key", "place", F.col("told.chunk").alias("chunk"))
+    return spans.filter("told.counts").select("id", "key", "place", F.col("told.chunk").alias("chunk"), F.col("told.words").alias("words"))
 
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row with its text less the chunks that occurred before, and n_lines and n_removed (lines).
+    """Every row with its text less the chunks that occurred before, n_lines and n_removed (lines), and words_removed.
 
     The first occurrence is that with the least (doc_id, place); a null doc_id comes first. Rows with one doc_id
     count as one document, so equal rows keep the same chunks. A null or empty text is one empty line and becomes
@@ -93,17 +93,19 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     groups = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     repeated = groups.groupBy(F.md5("chunk").alias("hash")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("times").alias("times"), F.min("first").alias("first")).filter((F.col("chunks") == 1) & (F.col("times") > 1))
     repeated = cut(repeated)  # so that the rows of a chunk that very many documents have can be split in the join
-    later = hashed.select("id", "key", "place", F.col("chunk").alias("hash"), order.alias("order")).join(repeated.select("hash", "first"), "hash").filter(F.col("order") > F.col("first"))
-    gone = later.groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
-    kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
+    later = hashed.select("id", "key", "place", "words", F.col("chunk").alias("hash"), order.alias("order")).join(repeated.select("hash", "first"), "hash").filter(F.col("order") > F.col("first"))
+    # As a set, since repeated rows of one document have each chunk as often.
+    gone = later.groupBy("id", "key").agg(F.collect_set(F.struct("place", "words")).alias("gone"))
+    gone = gone.select("id", "key", F.col("gone.place").alias("gone"), F.aggregate("gone", F.lit(0).cast("bigint"), lambda n, x: n + x.words).alias("words"))
+    kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed", "words_removed")]
     body = F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit(""))
     out = df.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.id")) & (F.md5(body) == F.col("g.key")), "left")
-    out = out.select(*[F.col(f"d.`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col("g.gone").alias("gone"), F.split(body, "\n").alias("all"))
+    out = out.select(*[F.col(f"d.`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col("g.gone").alias("gone"), F.coalesce("g.words", F.lit(0).cast("bigint")).alias("words_removed"), F.split(body, "\n").alias("all"))
     out = with_spans(out.withColumn("lines", F.when(F.col("gone").isNotNull(), F.col("all")).otherwise(F.array())))
     stays = F.filter(F.transform("spans", lambda s, i: F.struct(s.at.alias("at"), s.n.alias("n"), i.alias("i"))), lambda s: ~F.array_contains("gone", s.i))
     left = F.flatten(F.transform(stays, lambda s: F.slice("lines", s.at, s.n)))
     out = out.withColumn("left", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("all")))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.array_join("left", "\n").alias(text), F.size("all").cast("bigint").alias("n_lines"), (F.size("all") - F.size("left")).cast("bigint").alias("n_removed"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.array_join("left", "\n").alias(text), F.size("all").cast("bigint").alias("n_lines"), (F.size("all") - F.size("left")).cast("bigint").alias("n_removed"), "words_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +154,6 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     body = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], n_words(body).alias(before))
     out = remove_repeated_chunks(inner, own["doc_id"], own["text"])
-    left = n_words(F.col(own["text"]))
-    out = out.filter((F.col(before) == 0) | (100 * (F.col(before) - left) < COPY_PERCENT * F.col(before)))
+    # Told by the words removed: a condition on the words left would have Spark make each text's chunks again and again.
+    out = out.filter((F.col(before) == 0) | (100 * F.col("words_removed") < COPY_PERCENT * F.col(before)))
     return out.select(*[(F.length(own["text"]).cast("bigint") if c == "n_chars" else F.col(n)).alias(c) for c, n in own.items()])
