@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -153,3 +154,16 @@ def test_model_finds_jumps(spark):
     assert len(made) == 1000
     assert all(made[i] == -1 for i in jumps)
     assert 0.03 <= sum(v == -1 for v in made.values()) / 1000 <= 0.06
+
+
+def test_period_ids_in_a_given_order_over_ranges(spark):
+    """As a plain loop over the rows counts them, with nulls, over many ranges."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 1, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "row int, license_plate string, occupancy_status int")
+    want, n, last = {}, 0, None
+    for i, plate, status in rows:
+        n += last is None or None in (plate, status, *last) or (plate, status) != last
+        want[i], last = n, (plate, status)
+    assert {r.row: r.period_id for r in periods.add_period_id_in_order(df.repartition(3), "row").collect()} == want
+    assert periods.add_period_id_in_order(df.limit(0), "row").isEmpty()

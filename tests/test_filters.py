@@ -112,3 +112,14 @@ def test_shapefile(spark, tmp_path):
     (tmp_path / "a.dbf").write_bytes(b"\3\0\0\0" + struct.pack("<IHH", 2, 65, 11) + b"\0" * 20 + b"NAME_1".ljust(11, b"\0") + b"C\0\0\0\0" + bytes([10]) + b"\0" * 15 + b"\r" + dbf)
     assert polygons.from_shapefile(spark, str(tmp_path / "a.shp"), "NAME_1", "North") == [e for r in squares["North"] for e in polygons.ring_edges(r)]
     assert len(polygons.from_shapefile(spark, str(tmp_path / "a.shp"))) == 10
+
+
+def test_join_polygons(spark):
+    square = lambda a, b: [(a, a, b, a), (b, a, b, b), (b, b, a, b), (a, b, a, a)]
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 5.0, 5.0), (4, None, 1.0), (5, 9.0, 9.0), (2, 3.0, 3.0)], "id int, longitude double, latitude double")
+    shapes = [({"area": "a"}, square(0.0, 4.0)), ({"area": "b"}, square(2.0, 6.0))]
+    found = sorted((r.id, r.area) for r in filters.join_polygons(points, shapes).collect())
+    assert found == [(1, "a"), (2, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "b")]
+    assert filters.join_polygons(points, []).isEmpty() and filters.join_polygons(points.limit(0), shapes).isEmpty()
+    with pytest.raises(ValueError, match="columns of the points"):
+        filters.join_polygons(points.withColumn("area", points.id), shapes)

@@ -59,6 +59,27 @@ def in_polygon(df: DataFrame, edges: list[Edge], x: str = "longitude", y: str =
     return in_box(df, (min(xs), max(xs)), (min(ys), max(ys)), x, y).filter(within_edges(F.col(x), F.col(y), edges))
 
 
+def join_polygons(df: DataFrame, polygons: list[tuple[dict[str, str], list[Edge]]], x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """The points strictly inside a polygon, with its attributes; one row for each polygon that a point lies in.
+
+    All polygons have the same attributes, whose names must not be columns of the points. They are literals, so their edges
+    together bound the expression's size. Points with a null coordinate lie in none; no polygons give no rows.
+    """
+    if not polygons:
+        return df.limit(0)
+    names = list(polygons[0][0])
+    if clash := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"attributes {clash} are columns of the points")
+    found = []
+    for attributes, edges in polygons:
+        xs, ys = [v for e in edges for v in (e[0], e[2])], [v for e in edges for v in (e[1], e[3])]
+        inside = F.col(x).between(min(xs), max(xs)) & F.col(y).between(min(ys), max(ys)) & within_edges(F.col(x), F.col(y), edges)
+        found.append(F.when(inside, F.struct(*[F.lit(attributes[n]).alias(n) for n in names])))
+    xs, ys = [v for _, es in polygons for e in es for v in (e[0], e[2])], [v for _, es in polygons for e in es for v in (e[1], e[3])]
+    near = in_box(df, (min(xs), max(xs)), (min(ys), max(ys)), x, y)
+    return near.select(*df.columns, F.explode(F.array_compact(F.array(*found))).alias("polygon_")).select(*df.columns, *[F.col(f"polygon_.`{n}`").alias(n) for n in names])
+
+
 def occupied(df: DataFrame, column: str = "occupancy_status") -> DataFrame:
     """Rows with status 1, whether it is stored as a number or as text."""
     return df.filter(F.col(column).cast("string") == "1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklake.functions.geodesy import haversine_km
 from tracklake.operators.features import TIE, track
 from tracklake.operators.quantiles import iqr_threshold
+from tracklake.operators.staging import stage
 from tracklake.schema import PLATE, TIME
 
 #: Width of the time bins by which points meet periods. A period is entered in every bin it touches.
@@ -34,12 +35,22 @@ def add_period_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 def add_period_id_in_order(df: DataFrame, row_key: str) -> DataFrame:
     """period_id for points in a caller's own order, in which a plate that comes back starts a new period.
 
-    Such an order is global: all rows pass through one task. For points ordered by vehicle and time, use add_period_id.
+    The rows are dealt by ranges of the key; ids are counted within each range and shifted by the periods before it, and a range's
+    first row is held against the last row of the range before. One row for each range meets in one task. Keys should be
+    unique: rows of one key have no order among them. A null plate or status starts a period, as the row after it does.
     """
-    w = Window.orderBy(row_key)
-    change = F.coalesce((F.col(PLATE) != F.lag(PLATE).over(w)) | (F.col("occupancy_status") != F.lag("occupancy_status").over(w)), F.lit(True))
-    df = df.withColumn("change_", change.cast("int"))
-    return df.withColumn("period_id", F.sum("change_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("change_")
+    ranged = stage(df.repartitionByRange(row_key).withColumn("range_", F.spark_partition_id()))
+    ranges, own = Window.orderBy("range_"), Window.partitionBy("range_").orderBy(row_key)
+    point = F.struct(F.col(PLATE).alias("p"), F.col("occupancy_status").alias("s"))
+    ends = ranged.groupBy("range_").agg(F.max_by(point, F.struct(row_key)).alias("end_"))
+    before = ends.select("range_", F.lag("end_").over(ranges).alias("end_"))
+    last = F.coalesce(F.lag(point).over(own), F.col("end_"))
+    change = F.coalesce((F.col(PLATE) != last.p) | (F.col("occupancy_status") != last.s), F.lit(True))
+    marked = ranged.join(before, "range_").withColumn("local_", F.sum(change.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marked = stage(marked.drop("end_"))
+    sizes = marked.groupBy("range_").agg(F.max("local_").alias("n_"))
+    sizes = sizes.select("range_", (F.sum("n_").over(ranges.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_")).alias("before_"))
+    return marked.join(sizes, "range_").withColumn("period_id", (F.col("local_") + F.col("before_")).cast("int")).drop("range_", "local_", "before_")
 
 
 def summarize_periods(df: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -12,7 +13,9 @@ from tracklake.functions.plates import is_valid_plate
 from tracklake.operators import features, filters, lookups, periods, profiling, quantiles
 from tracklake.operators.outliers import detect_outliers
 from tracklake.plans import cleaning
+from tracklake.operators.staging import shared_folder
 from tracklake.plans.adapter import read_points
+from tracklake.sources import csv_points, memory, parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,3 +426,98 @@ def period_navigation(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{SUMMARY} SELECT sha256(license_plate)[1:8] AS license_plate, period_id, '***' AS start_time, '***' AS end_time, count_rows FROM longer")
 def anonymized_periods(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.private(cleaning.period_table(cleaned(spark, sf))).select("license_plate", "period_id", "start_time", "end_time", "count_rows")
+
+
+def histogram_sql(bins: int) -> str:
+    return f"""{FEATURES}, lim AS (SELECT min(implied_speed_kph) AS lo, max(implied_speed_kph) AS hi FROM f),
+n AS (SELECT least(floor((implied_speed_kph - lo) / ((hi - lo) / {bins})), {bins - 1})::INTEGER AS bin, count(*) AS n FROM f, lim GROUP BY 1)
+SELECT r.range::INTEGER AS bin, round(lo + r.range * ((hi - lo) / {bins}), 6) AS low, round(lo + (r.range + 1) * ((hi - lo) / {bins}), 6) AS high, coalesce(n.n, 0) AS n FROM range({bins}) r CROSS JOIN lim LEFT JOIN n ON n.bin = r.range"""
+
+
+@query(histogram_sql(500))
+def histogram_speed_500(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.histogram(made_features(spark, sf), "implied_speed_kph", 500).select("bin", *r6("low", "high"), "n")
+
+
+@query(histogram_sql(100))
+def histogram_speed_100(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.histogram(made_features(spark, sf), "implied_speed_kph", 100).select("bin", *r6("low", "high"), "n")
+
+
+def time_bins_sql(bins: int) -> str:
+    return f"""WITH t AS (SELECT epoch_us(ts) AS us FROM events), lim AS (SELECT min(us) AS lo, max(us) AS hi FROM t)
+SELECT least(((us - lo)::HUGEINT * {bins}) // (hi - lo), {bins - 1})::INTEGER AS bin, count(*) AS n FROM t, lim GROUP BY 1"""
+
+
+@query(time_bins_sql(12))
+def timestamp_histogram_12(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.time_histogram(read_points(spark, sf), 12)
+
+
+@query(time_bins_sql(50))
+def timestamp_histogram_50(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.time_histogram(read_points(spark, sf), 50)
+
+
+@query(f"{SUMMARY} SELECT license_plate, count(period_id) AS n_periods FROM longer GROUP BY license_plate")
+def plate_counts_by_plate(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.plate_counts(cleaning.period_table(cleaned(spark, sf)))
+
+
+@query(f"{SUMMARY} SELECT license_plate, count(period_id) AS n_periods FROM longer GROUP BY license_plate HAVING count(period_id) > 1")
+def plate_counts_ascending(spark: SparkSession, sf: str) -> DataFrame:
+    return lookups.plate_counts(cleaning.period_table(cleaned(spark, sf)), only_several=True, order="ascending")
+
+
+@query(f"""WITH {POINTS}, marked AS (SELECT key, coalesce(license_plate <> lag(license_plate) OVER w OR occupancy_status <> lag(occupancy_status) OVER w, true) AS change FROM points WINDOW w AS (ORDER BY key))
+SELECT key, (sum(change::INT) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INTEGER AS period_id FROM marked""")
+def period_id_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return periods.add_period_id_in_order(read_points(spark, sf), "key").select("key", "period_id")
+
+
+NORTH = [(115.6, 40.0), (117.3, 40.0), (117.3, 41.7), (115.6, 41.7)]
+SHAPES = {"city": EDGES, "north": [(*a, *b) for a, b in zip(NORTH, NORTH[1:] + NORTH[:1], strict=True)]}
+SHAPE_ROWS = ", ".join(f"('{name}', " + ", ".join(f"{v}::DOUBLE" for v in e) + ")" for name, edges in SHAPES.items() for e in edges)
+
+
+@query(f"""WITH {POINTS}, edges(area, x1, y1, x2, y2) AS (VALUES {SHAPE_ROWS})
+SELECT key, area FROM points, edges GROUP BY key, area HAVING count(*) FILTER (WHERE (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / (y2 - y1) + x1) % 2 = 1
+  AND NOT bool_or((x2 - x1) * (latitude - y1) = (y2 - y1) * (longitude - x1) AND longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2))""")
+def polygon_join(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.join_polygons(read_points(spark, sf), [({"area": name}, edges) for name, edges in SHAPES.items()]).select("key", "area")
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {POINTS} SELECT key::VARCHAR AS taxi_id, CASE WHEN key % 11 <> 0 THEN license_plate END AS license_plate, CASE WHEN key % 13 <> 0 THEN timestamp END AS timestamp,
+  CASE WHEN key % 7 <> 0 THEN longitude END AS longitude, CASE WHEN key % 17 <> 0 THEN latitude END AS latitude, CASE WHEN key % 5 <> 0 THEN instant_speed END AS instant_speed, CASE WHEN key % 19 <> 0 THEN occupancy_status END AS occupancy_status FROM points""")
+def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The points written as a raw file with each null token and unreadable cells, converted, and read back."""
+    text = lambda c, n, bad: F.when(F.col("key") % n == 0, F.lit(bad)).otherwise(F.col(c).cast("string")).alias(c)
+    raw = read_points(spark, sf).select(F.lit("c").alias("company_id"), F.col("key").cast("string").alias("taxi_id"), text("license_plate", 11, "N"), text("timestamp", 13, "bad"), text("longitude", 7, "n"), text("latitude", 17, "39.x"), text("instant_speed", 5, ""), text("occupancy_status", 19, "999"), F.lit("x"), F.lit("y"), F.lit("z"))
+    where = new_folder(spark)
+    raw.write.csv(f"{where}/day.csv")
+    done = csv_points.convert_csv(spark, f"{where}/day.csv", columns="taxi_id, license_plate, timestamp, longitude, latitude, instant_speed, occupancy_status")
+    return spark.read.parquet(done)
+
+
+@query(f"WITH {POINTS} SELECT license_plate, key, longitude FROM points WHERE occupancy_status = 1")
+def parquet_sink(spark: SparkSession, sf: str) -> DataFrame:
+    where = new_folder(spark)
+    parquet.save_parquet(filters.occupied(read_points(spark, sf)).select("license_plate", "key", "longitude"), where, compression="snappy")
+    return spark.read.parquet(where)
+
+
+@query(f"WITH {POINTS} SELECT license_plate, count(*) AS n FROM points GROUP BY license_plate")
+def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    where = new_folder(spark)
+    parquet.save_csv(read_points(spark, sf).groupBy("license_plate").agg(F.count(F.lit(1)).alias("n")), where)
+    return spark.read.schema("license_plate string, n bigint").option("header", True).csv(where)
+
+
+@query("SELECT * FROM (VALUES ('京A12345', TIMESTAMP '2019-11-25 01:02:03', 1), ('京A12345', NULL, 0), ('京B00001', TIMESTAMP '2019-11-25 23:59:59', 1)) v(license_plate, timestamp, occupancy_status)")
+def memory_points(spark: SparkSession, sf: str) -> DataFrame:
+    made = memory.points_from_columns(spark, {"license_plate": ["京A12345", "京A12345", "京B00001"], "timestamp": ["2019-11-25T01:02:03", "late", "2019-11-25T23:59:59"], "occupancy_status": [1, 0, 1]})
+    return made.withColumn("occupancy_status", F.col("occupancy_status").cast("int"))
