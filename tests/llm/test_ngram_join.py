@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracklake.llm import ngram_join
+from tracklake.llm import components, ngram_join
 from tracklake.llm.common import Tokens
 from tracklake.llm.ngram_join import near_duplicates_stage, ngram_components
 
@@ -111,3 +111,24 @@ def test_stage_knows_rows_by_their_text(spark):
     got = ngram_join.near_duplicates_stage(spark, df, "")
     assert got.columns == df.columns
     assert sorted(r.text_key for r in got.collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_components_of_stars_chains_and_rings(spark, monkeypatch):
+    """A hub with more links than one part takes, a chain, a ring, and repeated, null and self links, against union and find."""
+    monkeypatch.setattr(components, "PARTS", 8)
+    links = [(500, 1000 + i) for i in range(60)] + [(i, i + 1) for i in range(2000, 2040)] + [(3000 + i, 3000 + (i + 1) % 7) for i in range(7)]
+    links += [(1003, 2003), (500, 1000), (7, 7), (None, 4), (4, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.root for r in found} == {x: find(x) for x in root} and len(found) == len(root)
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()

@@ -7,21 +7,49 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.common import cut, release
 
+#: Parts into which the rows of a key are split for a join, if more rows than this have it. So the other side's copies of
+#: that key's row, one for each part, are never more than the rows that meet them.
+PARTS = 256
+
+
+def split_rows(rows: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with their part_ (0 but for frequent keys, whose rows are dealt by the hash of ``by``), and the frequent keys.
+
+    Keys are counted before they are shuffled. Rows meet the frequent keys by key and part, so no key gathers in one task here.
+    """
+    frequent = cut(rows.groupBy(F.col(key).alias("key_")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PARTS).select("key_"))
+    parts = frequent.select(F.col("key_"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_"))
+    dealt = rows.withColumn("part_", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
+    met = dealt.join(parts, (F.col(key) == F.col("key_")) & (F.col("part_") == F.col("of_")), "left")
+    return met.withColumn("part_", F.coalesce("of_", F.lit(0))).drop("key_", "of_"), frequent
+
+
+def join_split(split: DataFrame, frequent: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """Rows of ``split_rows`` joined with a table in which each key is once; a frequent key's row is repeated for each part."""
+    parts = F.when(F.col("key_").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    repeated = table.join(frequent, F.col(key) == F.col("key_"), "left").withColumn("part_", F.explode(parts)).drop("key_")
+    return split.join(repeated, [key, "part_"]).drop("part_")
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link; root is the least node that it reaches.
 
     Each round gives a node the least label among its own and its neighbours', then follows that label's own label,
-    so that long chains shrink by halves. Null ends and links from a node to itself add nothing.
+    so that long chains shrink by halves. Null ends and links from a node to itself add nothing. A node with very many links,
+    and a label that very many nodes have, are split among tasks.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = cut(pairs.union(pairs.select("v", "u")).distinct())
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    split, hubs = split_rows(edges, "v", ["u"])
+    split = cut(split)
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        seen = join_split(split, hubs, "v", labels.select(F.col("node").alias("v"), "root"))
+        near = seen.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         low = cut(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         if low.filter("was <> root").isEmpty():
             return low.select("node", "root")
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("far"))
         release(low.sparkSession)
-        labels = cut(low.select("node", "root").join(jump, "root").select("node", F.least("root", "far").alias("root")))
+        members, large = split_rows(low.select("node", "root"), "root", ["node"])
+        labels = cut(join_split(members, large, "root", jump).select("node", F.least("root", "far").alias("root")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.llm.common import BASE, Fresh, Tokens, as_bytes, cut, field, map_texts, mix, release, slices, sort_segments, table
-from tracklake.llm.components import connected_components
+from tracklake.llm.components import connected_components, join_split, split_rows
 
 WORDS = 5
 #: Jaccard similarity of at least PERCENT / 100.
@@ -326,15 +326,15 @@ def keyed_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = cut(similar_classes(indexed, percent))
     release(df.sparkSession)
     roots = connected_components(links)
-    # Components are settled among classes; documents meet them last. Each table is written before a join on its key, so
-    # that Spark can split the rows of a large component, or of a text with very many copies, among tasks.
-    named = members.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # Components are settled among classes; documents meet them last. The classes of a large component, and the rows of a text
+    # with very many copies, are split among tasks.
+    worded = members.filter("class IS NOT NULL")
+    named = worded.groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = cut(indexed.select("class", "n").join(named, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "least", F.coalesce("root", "class").alias("root")))
-    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = cut(join_split(*split_rows(classes, "root", ["class"]), "root", least).select("class", F.col("n").alias("n_shingles"), "component_id"))
     release(df.sparkSession)
-    told = cut(classes.join(least, "root").select("class", F.col("n").alias("n_shingles"), "component_id"))
-    release(df.sparkSession)
-    out = members.filter("class IS NOT NULL").join(told, "class").select("doc_id", "n_shingles", "component_id", "text_key")
+    out = join_split(*split_rows(worded, "class", ["doc_id", "text_key"]), "class", told).select("doc_id", "n_shingles", "component_id", "text_key")
     return out.union(members.filter("class IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))
 
 
