@@ -132,3 +132,41 @@ def test_components_of_stars_chains_and_rings(spark, monkeypatch):
     found = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == {x: find(x) for x in root} and len(found) == len(root)
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def union_find(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    return {x: find(x) for x in root}
+
+
+def test_components_of_a_chain_take_few_checkpoints(spark, monkeypatch):
+    """A chain whose least node lies far from where it is joined, among stars: tasks contract it, so one round settles it."""
+    order = list(range(300))
+    random.Random(5).shuffle(order)
+    links = list(zip(order, order[1:], strict=False)) + [(5000, 6000 + i) for i in range(400)] + [(order[150], 5000)]
+    cuts = []
+    whole = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or whole(df))
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert {r.node: r.root for r in found} == union_find(links) and len(found) == 701
+    assert len(cuts) <= 4
+
+
+def test_components_that_many_tasks_contract(spark, monkeypatch):
+    """No task sees all links of a component, nor holds a whole forest: the rounds do the rest."""
+    monkeypatch.setattr(components, "LINKS", 20)
+    monkeypatch.setattr(components, "PARTS", 8)
+    rng = random.Random(6)
+    links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(1000, 1001 + i) for i in range(150)] + [(-7, 1100), (2000, 2001)]
+    links = [(a, b) for a, b in links if a != b]
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    assert {r.node: r.root for r in found} == union_find(links) and len(found) == len(union_find(links))
